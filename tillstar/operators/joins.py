@@ -1,0 +1,19 @@
+"""Join helpers with an explicit size check before any broadcast."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+
+    The check scans at most ``max_rows + 1`` rows (``limit`` stops early), so it
+    stays cheap even when the side turns out to be large; beyond the bound the
+    frame is returned untouched and Spark plans a shuffled join (AQE may still
+    switch it at run time from measured sizes).
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
