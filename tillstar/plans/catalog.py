@@ -50,5 +50,8 @@ def analytics_queries() -> dict[str, Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tillstar.plans.etl import etl_queries
+
     out = analytics_queries()
+    out.update(etl_queries())
     return out

@@ -118,6 +118,241 @@ ORDER BY stockcode LIMIT {P.SEARCH_PAGE} OFFSET {P.SEARCH_OFFSET}"""
     return q
 
 
+
+
+# ---------------------------------------------------------------------------
+# Dirty export, cleaning and merge
+# ---------------------------------------------------------------------------
+
+RAW = "invoiceno, stockcode, description, quantity, invoicedate, unitprice, customerid, country"
+ORDER_BY = "copy, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice"
+PLACEHOLDER = "Description du produit à intégrer"
+
+DIRTY_CTES = f"""
+d_base AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS invoiceno,
+         CASE WHEN l_partkey % 97 = 0 THEN 'P' ELSE '' END || CAST(l_partkey AS VARCHAR) AS stockcode,
+         CASE WHEN l_partkey % 89 = 0 THEN NULL ELSE p_name END AS description,
+         CAST(CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber = 1
+                   THEN -l_quantity ELSE l_quantity END AS DECIMAL(8,0)) AS quantity,
+         CAST(o_orderdate AS DATE) AS invoicedate,
+         CASE WHEN (l_orderkey + l_partkey) % 101 = 0 THEN CAST(0 AS DECIMAL(18,6))
+              ELSE {_money(_UNIT_CENTS, 'DECIMAL(18,6)')} END AS unitprice,
+         CAST(CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS DECIMAL(8,1)) AS customerid,
+         upper(n_name) AS country,
+         l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+       JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
+dirty AS (SELECT 0 AS copy, * FROM d_base UNION ALL SELECT 1 AS copy, * FROM d_base WHERE l_orderkey % 50 = 0),
+batch_a AS (SELECT * FROM dirty WHERE l_orderkey % 3 <> 0),
+batch_b AS (SELECT * REPLACE (invoicedate + 30 AS invoicedate) FROM dirty WHERE l_orderkey % 3 <> 1)"""
+
+
+def _title(c: str) -> str:
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({c}, '([A-Za-z]+|[^A-Za-z]+)'), "
+        f"lambda t: upper(t[1]) || lower(t[2:])), '')"
+    )
+
+
+_LE0 = "coalesce({c} <= 0, false)"
+_LETTER = "coalesce(regexp_matches(stockcode, '^[A-Za-z]'), false)"
+
+
+def _clean(src: str, mode: str = "intended") -> str:
+    """Cleaned rows of ``src`` (C01-C10), lineage columns kept."""
+    country = _title("country")
+    description = "description"
+    if mode == "intended":
+        country = (
+            f"CASE WHEN country IS NULL OR regexp_matches(country, '^[0-9.]+$') THEN 'Unspecified' "
+            f"ELSE {country} END"
+        )
+        description = f"coalesce(description, '{PLACEHOLDER}')"
+    return f"""(SELECT * REPLACE ({country} AS country, {description} AS description),
+        CAST(unitprice * quantity AS DECIMAL(27,6)) AS totalcost
+ FROM (SELECT *, row_number() OVER (PARTITION BY invoiceno, stockcode ORDER BY {ORDER_BY}) AS rn_key FROM {src})
+ WHERE rn_key = 1 AND NOT {_LE0.format(c='quantity')} AND NOT {_LE0.format(c='unitprice')} AND NOT {_LETTER})"""
+
+
+CLEAN_OUT = RAW + ", totalcost"
+
+
+def with_dirty(body: str, star: bool = False) -> str:
+    ctes = DIRTY_CTES + ("," + STAR_CTES if star else "")
+    return f"WITH {ctes}\n{body}"
+
+
+def _merged(table: str) -> str:
+    """Rows of one star table after merging clean(batch A) then clean(batch B)."""
+    union = f"""merged AS (SELECT 0 AS batch, * FROM {_clean('batch_a')}
+                UNION ALL SELECT 1 AS batch, * FROM {_clean('batch_b')})"""
+    first = "row_number() OVER (PARTITION BY {k} ORDER BY batch, " + ORDER_BY + ") AS rn_first"
+    if table == "country":
+        body = "SELECT DISTINCT country, 'Earth' AS zone FROM merged"
+    elif table == "product":
+        body = f"SELECT stockcode, description FROM (SELECT *, {first.format(k='stockcode')} FROM merged) WHERE rn_first = 1"
+    elif table == "invoice":
+        body = (
+            f"SELECT invoiceno, invoicedate, customerid, country FROM "
+            f"(SELECT *, {first.format(k='invoiceno')} FROM merged) WHERE rn_first = 1"
+        )
+    else:
+        body = (
+            "SELECT invoiceno, stockcode, CAST(unitprice AS DECIMAL(8,2)) AS unitprice, quantity, "
+            "CAST(totalcost AS DECIMAL(8,2)) AS totalcost FROM "
+            f"(SELECT *, {first.format(k='invoiceno, stockcode')} FROM merged) WHERE rn_first = 1"
+        )
+    return with_dirty(f", {union}\n{body}")
+
+
+def etl_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["quality_report"] = with_dirty(
+        f"""SELECT n_rows, n_dup, n_dup_key, n_qty_le0, n_price_le0, n_letter_code, to_delete,
+       n_rows AS n_country_cells, n_null_cells, n_rows + n_null_cells AS to_repair,
+       n_rows - to_delete AS remaining,
+       CASE WHEN n_rows > 0 THEN round(to_delete / n_rows * 100, 2) END AS pct_deleted,
+       CASE WHEN n_rows > 0 AND round(to_delete / n_rows * 100, 2) <= 5 THEN 'clean' ELSE 'not_advised' END AS advice
+FROM (SELECT *, n_dup + n_qty_le0 + n_price_le0 + n_letter_code AS to_delete FROM (
+  SELECT count(*) AS n_rows,
+         count(*) - (SELECT count(*) FROM (SELECT DISTINCT {RAW} FROM dirty)) AS n_dup,
+         count(*) - (SELECT count(*) FROM (SELECT DISTINCT invoiceno, stockcode FROM dirty)) AS n_dup_key,
+         count(*) FILTER (WHERE quantity <= 0) AS n_qty_le0,
+         count(*) FILTER (WHERE unitprice <= 0) AS n_price_le0,
+         count(*) FILTER (WHERE regexp_matches(stockcode, '^[A-Za-z]')) AS n_letter_code,
+         CAST(count(*) FILTER (WHERE invoiceno IS NULL) + count(*) FILTER (WHERE stockcode IS NULL)
+            + count(*) FILTER (WHERE description IS NULL) + count(*) FILTER (WHERE quantity IS NULL)
+            + count(*) FILTER (WHERE invoicedate IS NULL) + count(*) FILTER (WHERE unitprice IS NULL)
+            + count(*) FILTER (WHERE customerid IS NULL) + count(*) FILTER (WHERE country IS NULL) AS BIGINT)
+           AS n_null_cells
+  FROM dirty))"""
+    )
+    labels = "('duplicate_row'), ('duplicate_key'), ('quantity_le0'), ('price_le0'), ('letter_code'), ('kept')"
+    q["quality_by_rule"] = with_dirty(
+        f""", cls AS (
+  SELECT CASE WHEN rn_full > 1 THEN 'duplicate_row'
+              WHEN rn_key > 1 THEN 'duplicate_key'
+              WHEN {_LE0.format(c='quantity')} THEN 'quantity_le0'
+              WHEN {_LE0.format(c='unitprice')} THEN 'price_le0'
+              WHEN {_LETTER} THEN 'letter_code'
+              ELSE 'kept' END AS rejected_by
+  FROM (SELECT *, row_number() OVER (PARTITION BY {RAW} ORDER BY {ORDER_BY}) AS rn_full,
+                  row_number() OVER (PARTITION BY invoiceno, stockcode ORDER BY {ORDER_BY}) AS rn_key
+        FROM dirty))
+SELECT l.rejected_by, CAST(count(c.rejected_by) AS BIGINT) AS n_rows
+FROM (VALUES {labels}) AS l(rejected_by) LEFT JOIN cls c ON c.rejected_by = l.rejected_by
+GROUP BY l.rejected_by"""
+    )
+    q["clean_rows"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('dirty')}")
+    q["clean_rows_as_written"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('dirty', 'as_written')}")
+    q["rejected_rows"] = with_dirty(
+        f"""SELECT {RAW}, rejected_by FROM (
+  SELECT *, CASE WHEN rn_full > 1 THEN 'duplicate_row'
+                 WHEN rn_key > 1 THEN 'duplicate_key'
+                 WHEN {_LE0.format(c='quantity')} THEN 'quantity_le0'
+                 WHEN {_LE0.format(c='unitprice')} THEN 'price_le0'
+                 WHEN {_LETTER} THEN 'letter_code' END AS rejected_by
+  FROM (SELECT *, row_number() OVER (PARTITION BY {RAW} ORDER BY {ORDER_BY}) AS rn_full,
+                  row_number() OVER (PARTITION BY invoiceno, stockcode ORDER BY {ORDER_BY}) AS rn_key
+        FROM dirty)) WHERE rejected_by IS NOT NULL"""
+    )
+    q["clean_country_title"] = with_dirty(
+        f"SELECT country AS country_raw, count(*) AS n_rows, {_title('country')} AS country FROM dirty GROUP BY country"
+    )
+    q["clean_fill_missing"] = with_dirty(
+        f"""SELECT invoiceno, stockcode, description, country FROM {_clean('dirty')}
+WHERE description = '{PLACEHOLDER}' OR country = 'Unspecified'"""
+    )
+
+    def report(check: str, flags: dict[str, str], src: str = "dirty") -> str:
+        parts = [
+            f"SELECT '{check}' AS \"check\", '{c}' AS \"column\", count(*) AS n_rows, "
+            f"CAST(count(*) FILTER (WHERE {f}) AS BIGINT) AS n_violations FROM {src}"
+            for c, f in flags.items()
+        ]
+        return " UNION ALL ".join(parts)
+
+    q["constraint_not_null"] = with_dirty(
+        report("not_null", {c: f"{c} IS NULL" for c in ("invoiceno", "stockcode", "country", "quantity")})
+    )
+    q["constraint_length"] = with_dirty(
+        report("max_length", {c: f"length({c}) > {n}" for c, n in
+                              (("invoiceno", 7), ("stockcode", 50), ("description", 80), ("country", 50))})
+    )
+    rng = {
+        "unitprice": "unitprice IS NOT NULL AND abs(unitprice) >= 999999.995",
+        "quantity": "quantity IS NOT NULL AND abs(quantity) >= 99999999.5",
+        "totalcost": "totalcost IS NOT NULL AND abs(totalcost) >= 999999.995",
+        "customerid": "customerid IS NOT NULL AND abs(customerid) >= 9999999.95",
+    }
+    q["constraint_decimal_range"] = with_dirty(
+        ", dirty_cost AS (SELECT *, unitprice * quantity AS totalcost FROM dirty)\n"
+        + report("decimal_range", rng, "dirty_cost")
+    )
+    uniq = [
+        ("export", "invoiceno,stockcode", "dirty", "invoiceno, stockcode"),
+        ("country", "country", "w_country", "country"),
+        ("product", "stockcode", "w_product", "stockcode"),
+        ("invoice", "invoiceno", "w_invoice", "invoiceno"),
+        ("detailinvoice", "invoiceno,stockcode", "w_detail", "invoiceno, stockcode"),
+    ]
+    q["constraint_unique"] = with_dirty(
+        " UNION ALL ".join(
+            f"""SELECT '{t}' AS "table", '{label}' AS "key", count(*) AS n_keys,
+       count(*) FILTER (WHERE c > 1) AS n_dup_keys, CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_dup_rows
+FROM (SELECT {cols}, count(*) AS c FROM {src} GROUP BY {cols})"""
+            for t, label, src, cols in uniq
+        ),
+        star=True,
+    )
+    q["constraint_orphans"] = with_star(
+        """SELECT 'detailinvoice->invoice' AS relation, count(*) AS n_orphans FROM w_detail d
+  WHERE d.invoiceno IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_invoice i WHERE i.invoiceno = d.invoiceno)
+UNION ALL
+SELECT 'detailinvoice->product', count(*) FROM w_detail d
+  WHERE d.stockcode IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_product p WHERE p.stockcode = d.stockcode)
+UNION ALL
+SELECT 'invoice->country', count(*) FROM w_invoice i
+  WHERE i.country IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_country c WHERE c.country = i.country)"""
+    )
+    q["constraint_dates"] = with_dirty(
+        """, txt AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN strftime(invoicedate, '%Y-%m-%d')
+                    ELSE strftime(invoicedate, '%-m/%-d/%Y %-H:%M') END AS invoicedate FROM dirty)
+SELECT 'date_parse' AS "check", 'invoicedate' AS "column", count(*) AS n_rows,
+       CAST(count(*) FILTER (WHERE invoicedate IS NOT NULL
+            AND try_strptime(invoicedate, '%m/%d/%Y %H:%M') IS NULL) AS BIGINT) AS n_violations,
+       'default' AS formats FROM txt
+UNION ALL
+SELECT 'date_parse', 'invoicedate', count(*),
+       CAST(count(*) FILTER (WHERE invoicedate IS NOT NULL AND try_strptime(invoicedate, '%m/%d/%Y %H:%M') IS NULL
+            AND try_strptime(invoicedate, '%Y-%m-%d') IS NULL) AS BIGINT),
+       'default+iso' FROM txt"""
+    )
+    for name, key in (("country", "load_country"), ("product", "load_product"),
+                      ("invoice", "load_invoice"), ("detailinvoice", "load_detail")):
+        q[key] = _merged(name)
+    q["stream_ingest"] = q["load_detail"]
+    clean_a = _clean("batch_a")
+    q["load_twice_is_noop"] = with_dirty(
+        f""", ca AS (SELECT * FROM {clean_a})
+SELECT 'country' AS "table", count(DISTINCT country) AS n_rows FROM ca
+UNION ALL SELECT 'product', count(DISTINCT stockcode) FROM ca
+UNION ALL SELECT 'invoice', count(DISTINCT invoiceno) FROM ca
+UNION ALL SELECT 'detailinvoice', count(*) FROM ca"""
+    )
+    q["warehouse_reset"] = with_dirty(
+        """, la AS (SELECT count(*) AS n FROM batch_a)
+SELECT t AS "table", CAST(0 * n AS BIGINT) AS n_rows
+FROM la, (VALUES ('country'), ('product'), ('invoice'), ('detailinvoice')) AS v(t)"""
+    )
+    q["stage_replace"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('batch_b')}")
+    q["csv_round_trip"] = with_dirty(f"SELECT {RAW}, 0 AS n_unparsed FROM dirty")
+    q["csv_header_any_case"] = q["clean_rows"]
+    return q
+
+
 def oracle_sql() -> dict[str, str]:
     out = analytics_sql()
+    out.update(etl_sql())
     return out
