@@ -20,7 +20,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillstar.operators.clean import clean, rejected
+from tillstar.operators.clean import classify, repair
 from tillstar.operators.constraints import violation
 from tillstar.operators.dedupe import first_per_key
 from tillstar.schema import CUSTOMER, DEFAULT_ZONE, LOAD_ORDER, PRICE, QTY, STAR
@@ -32,14 +32,12 @@ ORDER = "_order"
 def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = ORDER) -> DataFrame:
     """Rows of ``batch`` whose key is not yet in ``target`` (first per key in ``order``).
 
-    The target side is cut down to the batch's own keys with a semi join first
-    (a monthly batch touches a small slice of history), then the batch is
-    anti-joined against that slice.
+    Only the key columns of the target are read (column pruning at the scan);
+    the anti join shuffles batch and target keys once, and AQE turns it into
+    a broadcast at run time when the measured batch side is small.
     """
     firsts = first_per_key(batch, list(keys), order)
-    lead = keys[0]
-    touched = target.select(*keys).join(firsts.select(lead).distinct(), lead, "left_semi")
-    return firsts.join(touched, list(keys), "left_anti")
+    return firsts.join(target.select(*keys), list(keys), "left_anti")
 
 
 def project(batch: DataFrame, name: str, zone_map: DataFrame | None = None) -> DataFrame:
@@ -90,20 +88,23 @@ def load(
     """Clean ``raw``, check constraints, merge into the warehouse, commit.
 
     Returns False (and does nothing) when ``batch_id`` is already committed.
-    The cleaned batch is staged once (that also cuts its lineage), the four
-    tables read it back, and the manifest row is written last.
+    Every raw row is classified once and staged (that also cuts the lineage
+    back to the CSV scan); kept rows, constraint rejects and cleaning rejects
+    are all read from the staged copy.  The manifest row is written last.
     """
-    if batch_id in wh.committed():
+    ids = wh.committed()
+    if batch_id in ids:
         return False
-    cleaned = clean(raw, mode)
-    staged = wh.stage(cleaned.withColumn("rejected_by", violation(cleaned)), batch_id)
-    ok = staged.filter(F.col("rejected_by").isNull()).drop("rejected_by")
-    refused = staged.filter(F.col("rejected_by").isNotNull())
-    star = wh.star()
+    staged = wh.stage(classify(raw), batch_id)
+    kept = repair(staged.filter(F.col("rejected_by").isNull()).drop("rejected_by"), mode)
+    checked = kept.withColumn("rejected_by", violation(kept))
+    ok = checked.filter(F.col("rejected_by").isNull()).drop("rejected_by")
+    star = wh.star(ids)
     for name, rows in merge_star(star, ok, zone_map).items():
         wh.write_batch(name, rows, batch_id)
-    dropped = rejected(raw).drop("totalcost")
-    wh.write_rejected(dropped.unionByName(refused.select(*dropped.columns)), batch_id)
+    dropped = staged.filter(F.col("rejected_by").isNotNull()).drop("totalcost")
+    refused = checked.filter(F.col("rejected_by").isNotNull()).select(*dropped.columns)
+    wh.write_rejected(dropped.unionByName(refused), batch_id)
     wh.commit(batch_id, files)
     wh.clear_stage(batch_id, staged.schema)
     return True

@@ -79,18 +79,19 @@ class Warehouse:
         row.write.mode("overwrite").json(self.path("_manifest", batch_id))
 
     # -- tables ------------------------------------------------------------
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, ids: Sequence[str] | None = None) -> DataFrame:
         """Committed rows of a star table (empty typed frame when none)."""
         schema, _ = STAR[name]
-        ids = self.committed()
+        ids = self.committed() if ids is None else list(ids)
         p = self.path(name)
         if not ids or not _exists(self.spark, p):
             return self.spark.createDataFrame([], schema)
         df = self.spark.read.schema(_with_batch(schema)).option("basePath", p).parquet(p)
         return df.filter(F.col("batch_id").isin(ids)).select(*schema.fieldNames())
 
-    def star(self) -> dict[str, DataFrame]:
-        return {name: self.table(name) for name in LOAD_ORDER}
+    def star(self, ids: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        ids = self.committed() if ids is None else list(ids)
+        return {name: self.table(name, ids) for name in LOAD_ORDER}
 
     def write_batch(self, name: str, df: DataFrame, batch_id: str) -> None:
         schema, _ = STAR[name]
