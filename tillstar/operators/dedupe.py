@@ -12,15 +12,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _cols(cs) -> list:
-    if isinstance(cs, (str, Column)):
-        return [cs]
-    return list(cs)
+def order_columns(df: DataFrame, order) -> list:
+    """Sort columns for ``order``; a struct column is expanded into its fields.
+
+    Struct ordering is field by field, ascending, nulls first, so sorting on
+    the fields gives the same order, and lets the sorter use a prefix key.
+    """
+    if isinstance(order, Column):
+        return [order]
+    if isinstance(order, str):
+        dtype = df.schema[order].dataType
+        if isinstance(dtype, T.StructType):
+            return [F.col(order)[f.name].asc_nulls_first() for f in dtype.fields]
+        return [F.col(order)]
+    return [c for o in order for c in order_columns(df, o)]
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order) -> DataFrame:
     """Keep, for every key, the row that comes first in ``order`` (nulls in keys group together)."""
-    w = Window.partitionBy(*keys).orderBy(*_cols(order))
+    w = Window.partitionBy(*keys).orderBy(*order_columns(df, order))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from tillstar.operators.clean import classify, repair
 from tillstar.operators.constraints import violation
 from tillstar.operators.dedupe import first_per_key
+from tillstar.operators.joins import broadcast_if_small
 from tillstar.schema import CUSTOMER, DEFAULT_ZONE, LOAD_ORDER, PRICE, QTY, STAR
 from tillstar.sources.warehouse import Warehouse
 
@@ -46,7 +47,7 @@ def project(batch: DataFrame, name: str, zone_map: DataFrame | None = None) -> D
         out = batch.select("country", ORDER)
         if zone_map is None:
             return out.withColumn("zone", F.lit(DEFAULT_ZONE))
-        zones = zone_map.select("country", F.col("zone").alias("_zone"))
+        zones = broadcast_if_small(zone_map.select("country", F.col("zone").alias("_zone")), 10_000)
         return out.join(zones, "country", "left").withColumn(
             "zone", F.coalesce(F.col("_zone"), F.lit(DEFAULT_ZONE))
         ).drop("_zone")

@@ -333,6 +333,7 @@ SELECT 'date_parse', 'invoicedate', count(*),
                       ("invoice", "load_invoice"), ("detailinvoice", "load_detail")):
         q[key] = _merged(name)
     q["stream_ingest"] = q["load_detail"]
+    q["landing_incremental"] = q["load_detail"]
     clean_a = _clean("batch_a")
     q["load_twice_is_noop"] = with_dirty(
         f""", ca AS (SELECT * FROM {clean_a})

@@ -152,13 +152,20 @@ def read_landing(
     """
     text = _reader(spark, encoding, False, "*.csv", True).csv(folder)
     if exclude:
-        text = text.filter(~F.col("_metadata.file_path").isin(list(exclude)))
+        done = sorted({normalise_path(f) for f in exclude})
+        text = text.filter(~F.col("_metadata.file_path").isin(done))
     return parse_export(text, date_formats, order_by)
 
 
+def normalise_path(p: str) -> str:
+    """File listing and ``_metadata.file_path`` spell local URIs differently."""
+    return "file:/" + p[len("file:///"):] if p.startswith("file:///") else p
+
+
 def export_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the ``*.csv`` files below ``folder`` (a file listing, no data read)."""
-    return _reader(spark, ENCODING, False, "*.csv", True).csv(folder).inputFiles()
+    files = _reader(spark, ENCODING, False, "*.csv", True).csv(folder).inputFiles()
+    return sorted(normalise_path(f) for f in files)
 
 
 def write_export(
