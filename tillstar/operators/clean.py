@@ -63,29 +63,54 @@ def clean(raw: DataFrame, mode: str = "intended", order: str = ORDER, key: Seque
     return repair(kept, mode)
 
 
+def _null_safe(a: str, b: str, cols: Sequence[str]) -> list:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols]
+
+
 def classify(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS, order: str = ORDER) -> DataFrame:
     """Every raw row with ``rejected_by`` (null when the row is kept), C01 applied.
 
-    The earliest position of every full row and of every key comes from
-    aggregations (partial, map-side); one equi-join on the full row (nulls
-    equal) brings them back to the rows.  A dominant row or key only skews that
-    join on the probe side, which AQE splits.
+    Built from aggregates, so no task ever holds a whole hot key or hot row:
+
+    * ``groups``: one row per distinct full row with its copy count and the
+      lineage of its first copy (partial aggregation, map-side);
+    * ``heads``: per key, the earliest distinct row; it is the row cleaning
+      keeps unless the quantity / price / letter rules reject it;
+    * key duplicates: the other distinct rows of each key (join of two
+      aggregated frames);
+    * full duplicates: raw rows joined (nulls equal) only against the groups
+      seen more than once; that side holds one row per duplicated group, so
+      AQE can broadcast it at run time even when one row repeats a billion times.
     """
     cols = list(columns)
-    full = raw.groupBy(*cols).agg(F.min(order).alias("_first_full"))
-    per_key = full.groupBy(*KEY).agg(F.min("_first_full").alias("_first_key"))
-    firsts = full.alias("f").join(
-        per_key.alias("k"),
-        [F.col(f"f.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEY],
-    ).select(*[F.col(f"f.{c}").alias(c) for c in cols], "_first_full", "_first_key")
-    cond = [F.col(f"r.{c}").eqNullSafe(F.col(f"g.{c}")) for c in cols]
-    joined = raw.alias("r").join(firsts.alias("g"), cond).select("r.*", "g._first_full", "g._first_key")
-    label = (
-        F.when(F.col(order) != F.col("_first_full"), F.lit("duplicate_row"))
-        .when(F.col(order) != F.col("_first_key"), F.lit("duplicate_key"))
-        .otherwise(first_rule(F.col("quantity"), F.col("unitprice"), F.col("stockcode")))
+    lineage = [c for c in raw.columns if c not in cols and c != order]
+    every = [*cols, order, *lineage]
+    groups = raw.groupBy(*cols).agg(
+        F.count(F.lit(1)).alias("_c"), F.min(F.struct(order, *lineage)).alias("_first")
+    )
+    # Both consumers below read every column of ``g``, so their plans share one exchange.
+    g = groups.select(*cols, "_c", *[F.col("_first")[c].alias(c) for c in [order, *lineage]])
+    head = g.groupBy(*KEY).agg(F.min(F.struct(order, "_c")).alias("_h"))
+    labelled = (
+        g.alias("g")
+        .join(head.alias("h"), _null_safe("g", "h", KEY))
+        .select(
+            *[F.col(f"g.{c}").alias(c) for c in every],
+            F.when(F.col(f"g.{order}") != F.col("h._h")[order], F.lit("duplicate_key"))
+            .otherwise(first_rule(F.col("g.quantity"), F.col("g.unitprice"), F.col("g.stockcode")))
+            .alias("rejected_by"),
+        )
+    )
+    repeated = g.filter(F.col("_c") > 1).select(*cols, F.col(order).alias("_first_copy"))
+    dup_row = (
+        raw.alias("r")
+        .join(repeated.alias("d"), _null_safe("r", "d", cols))
+        .filter(F.col(f"r.{order}") != F.col("d._first_copy"))
+        .select("r.*")
+        .withColumn("rejected_by", F.lit("duplicate_row"))
     )
-    return with_totalcost(joined.withColumn("rejected_by", label).drop("_first_full", "_first_key"))
+    out = labelled.unionByName(dup_row)
+    return with_totalcost(out.select(*raw.columns, "rejected_by"))
 
 
 def rejected(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS, order: str = ORDER) -> DataFrame:
