@@ -30,14 +30,19 @@ from tillstar.sources.warehouse import Warehouse
 ORDER = "_order"
 
 
-def insert_if_absent(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = ORDER) -> DataFrame:
+def insert_if_absent(
+    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = ORDER, unique: bool = False
+) -> DataFrame:
     """Rows of ``batch`` whose key is not yet in ``target`` (first per key in ``order``).
 
+    ``unique=True`` states that ``batch`` already holds one row per key (a
+    cleaned batch is unique on the fact key), which skips the per-key selection.
+
     Only the key columns of the target are read (column pruning at the scan);
     the anti join shuffles batch and target keys once, and AQE turns it into
     a broadcast at run time when the measured batch side is small.
     """
-    firsts = first_per_key(batch, list(keys), order)
+    firsts = batch if unique else first_per_key(batch, list(keys), order)
     return firsts.join(target.select(*keys), list(keys), "left_anti")
 
 
@@ -70,11 +75,17 @@ def project(batch: DataFrame, name: str, zone_map: DataFrame | None = None) -> D
 def merge_star(
     star: Mapping[str, DataFrame], batch: DataFrame, zone_map: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """Pure form: the new rows of every table for one cleaned, checked batch."""
+    """Pure form: the new rows of every table for one cleaned, checked batch.
+
+    Cleaning keeps one row per (invoiceno, stockcode), so the fact insert needs
+    no per-key selection; the dimensions take the first row per key.
+    """
     out = {}
     for name in LOAD_ORDER:
         _, keys = STAR[name]
-        out[name] = insert_if_absent(star[name], project(batch, name, zone_map), keys)
+        out[name] = insert_if_absent(
+            star[name], project(batch, name, zone_map), keys, unique=(name == "detailinvoice")
+        )
     return out
 
 
