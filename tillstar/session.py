@@ -7,6 +7,7 @@ as in local tests, a private temporary folder is created and registered.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -66,10 +67,16 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private temp folder only when unset."""
+    """The cluster's shared checkpoint folder.
+
+    Only a local master may go without one: it then gets a private temp folder.
+    Elsewhere executors would each write to their own disk, so that raises.
+    """
     sc = spark.sparkContext
-    root = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tillstar-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(root)
