@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tillstar.llm.mixing import OP3_SQL, op3_mixing
+from tillstar.llm.packing import op10_packing
+from tillstar.llm.secrets import OP8_SQL, op8_secrets
 from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 
 
@@ -14,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
         "op5_url_filter": op5_url_filter,
+        "op8_secrets": op8_secrets,
+        "op10_packing": op10_packing,
     }
 
 
@@ -21,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": OP3_SQL,
         "op5_url_filter": OP5_SQL,
+        "op8_secrets": OP8_SQL,
     }
