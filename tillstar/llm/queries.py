@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillstar.llm.licenses import op6_license_scan
 from tillstar.llm.mixing import OP3_SQL, op3_mixing
 from tillstar.llm.packing import op10_packing
 from tillstar.llm.secrets import OP8_SQL, op8_secrets
+from tillstar.llm.toxicity import op9_toxicity
 from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 
 
@@ -16,7 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
         "op5_url_filter": op5_url_filter,
+        "op6_license_scan": op6_license_scan,
         "op8_secrets": op8_secrets,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
     }
 
