@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstar.session import scratch_path
 
@@ -202,3 +203,74 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     ).groupBy("node").agg(F.min("component").alias("component"))
+
+
+# ---- groups and blocks ------------------------------------------------------------------------
+
+
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """Rows of equal ``keys`` come to one task, sorted, and ``work`` gets each group as a table.
+
+    For many small groups this is far cheaper than one Python call per group through Spark.
+    Groups must be of bounded size; ``in_blocks`` sees to that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = False
+            for k in keys:
+                c = batch.column(k)
+                if batch.num_rows > 1:
+                    new[1:] |= pc.not_equal(c.slice(1), c.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(new)
+            same = bool(held) and all(held[-1].column(k)[-1].as_py() == batch.column(k)[0].as_py() for k in keys)
+            if held and not same:
+                yield from work(pa.Table.from_batches(held))
+                held = []
+            ends = [*at[1:], batch.num_rows]
+            for lo, hi in zip(at, ends):
+                held.append(batch.slice(lo, hi - lo))
+                if hi < batch.num_rows:
+                    yield from work(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def in_blocks(members: DataFrame, keys: list[str], node: str, chunk: int) -> DataFrame:
+    """Adds ``bi`` and ``bj``: group members are dealt to chunks of about ``chunk`` rows by a hash of
+    ``node``, and every pair of chunks of a group (bi <= bj) is a block of its own, so that all pairs
+    of a group meet in blocks of bounded size however large the group. Groups of one row go."""
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    names = {k: fresh(k) for k in keys}
+    sizes = sizes.withColumnsRenamed(names)
+    out = members.join(sizes, [F.col(k) == F.col(n) for k, n in names.items()]).drop(*names.values())
+    out = out.withColumn("_k", F.ceil(F.col("_size") / chunk).cast("int")).withColumn("_c", F.pmod(F.xxhash64(node), F.col("_k")).cast("int"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    out = out.withColumn("bi", F.least("_c", "_o")).withColumn("bj", F.greatest("_c", "_o")).withColumn("own", F.col("_c"))
+    return out.drop("_size", "_k", "_c", "_o")
+
+
+class Forest:
+    """Union-find over 0..n-1; the root is the smallest member."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        up = self.up
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.find(x), self.find(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillstar.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from tillstar.llm.licenses import op6_license_scan
 from tillstar.llm.mixing import OP3_SQL, op3_mixing
+from tillstar.llm.neighbours import OP4_SQL, op4_neighbours
 from tillstar.llm.packing import op10_packing
 from tillstar.llm.secrets import OP8_SQL, op8_secrets
 from tillstar.llm.toxicity import op9_toxicity
@@ -17,8 +19,10 @@ from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
+        "op4_neighbours": op4_neighbours,
         "op5_url_filter": op5_url_filter,
         "op6_license_scan": op6_license_scan,
+        "op7_embedding_dedup": op7_embedding_dedup,
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
@@ -28,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": OP3_SQL,
+        "op4_neighbours": OP4_SQL,
         "op5_url_filter": OP5_SQL,
+        "op7_embedding_dedup": OP7_SQL,
         "op8_secrets": OP8_SQL,
     }
