@@ -10,6 +10,7 @@ from tillstar.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from tillstar.llm.licenses import op6_license_scan
 from tillstar.llm.mixing import OP3_SQL, op3_mixing
 from tillstar.llm.neighbours import OP4_SQL, op4_neighbours
+from tillstar.llm.ngram_join import op1_ngram_join
 from tillstar.llm.packing import op10_packing
 from tillstar.llm.secrets import OP8_SQL, op8_secrets
 from tillstar.llm.toxicity import op9_toxicity
@@ -18,6 +19,7 @@ from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op3_mixing": op3_mixing,
         "op4_neighbours": op4_neighbours,
         "op5_url_filter": op5_url_filter,
