@@ -13,6 +13,7 @@ from tillstar.llm.neighbours import OP4_SQL, op4_neighbours
 from tillstar.llm.ngram_join import op1_ngram_join
 from tillstar.llm.packing import op10_packing
 from tillstar.llm.secrets import OP8_SQL, op8_secrets
+from tillstar.llm.suffix_dedup import op2_suffix_dedup
 from tillstar.llm.toxicity import op9_toxicity
 from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -20,6 +21,7 @@ from tillstar.llm.url_filter import OP5_SQL, op5_url_filter
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": op1_ngram_join,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_mixing": op3_mixing,
         "op4_neighbours": op4_neighbours,
         "op5_url_filter": op5_url_filter,
