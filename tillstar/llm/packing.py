@@ -89,7 +89,7 @@ def pack(
         bucket = F.when((F.col("length") > 0) & (F.col("length") <= b), F.lit(b)).otherwise(bucket)
     pieces = pieces.withColumn("bucket", bucket.cast("long")).withColumn("cell", spread(F.col("key")))
     rank, room = fresh("rank"), fresh("room")
-    ranked = running(pieces, ["bucket"], "cell", [F.col("key"), F.col("doc_id")], F.lit(1), rank)
+    ranked = running(pieces, ["bucket"], "cell", [F.col(c) for c in ("key", "doc_id", "length", "n_pieces")], F.lit(1), rank)
     ranked = ranked.withColumn(room, F.floor(F.lit(budget) / F.greatest(F.col("bucket"), F.lit(1))))
     return ranked.select(
         "doc_id",

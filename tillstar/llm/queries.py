@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tillstar.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from tillstar.llm.licenses import op6_license_scan
 from tillstar.llm.mixing import OP3_SQL, op3_mixing
@@ -30,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secrets": op8_secrets,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
