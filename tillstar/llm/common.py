@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,21 @@ def fresh(name: str) -> str:
     return f"__{name}_{uuid.uuid4().hex[:8]}"
 
 
+def quoted(names: Iterable[str]) -> list[Column]:
+    """Columns by their exact names, dots and all."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
+def add_columns(df: DataFrame, keep: list[str], new: list[T.StructField], work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Columns ``keep`` of a frame and ``new`` ones that ``work`` makes from Arrow batches.
+
+    ``work`` sees kept column i as ``c<i>``, so any column name will do.
+    """
+    plain = df.select(*quoted(keep)).toDF(*[f"c{i}" for i in range(len(keep))])
+    schema = T.StructType(list(plain.schema.fields) + [T.StructField(f"new{i}", f.dataType) for i, f in enumerate(new)])
+    return plain.mapInArrow(work, schema).toDF(*keep, *[f.name for f in new])
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstar.llm.common import table, text_slices
+from tillstar.llm.common import add_columns, table, text_slices
 
 # Base phrases and their labels.
 PHRASES = (
@@ -141,15 +141,15 @@ def license_frame(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
     notices may overlap; of one notice they don't.
     """
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "base", "found")]
-    schema = T.StructType([docs.schema[c] for c in keep] + list(_SCHEMA.fields))
     if text not in keep:
         raise ValueError("the text column may not be called n_words, base or found")
+    body = f"c{keep.index(text)}"
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact = [(regex.compile(rb"(?<![^ \n])" + p.encode() + rb"(?![^ \n])"), p.encode(), label) for p, label in phrases]
         loose = [(n, regex.compile(b"(?b)(?:%s){e<=%d}" % (n.text.encode(), n.edits))) for n in notices]
         for batch in batches:
-            for i, j, data, off in text_slices(batch, text):
+            for i, j, data, off in text_slices(batch, body):
                 t, starts, lines = normalise(data, off)
                 first = np.searchsorted(starts, lines)  # words before each text
                 base: list[list] = [[] for _ in range(j - i)]
@@ -169,15 +169,15 @@ def license_frame(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
                             {"label": n.label, "first_word": max(0, w), "last_word": max(0, last), "edits": edits, "score": max(0.0, 1 - edits / len(n.text))}
                         )
                 part = batch.slice(i, j - i)
-                columns = [part.column(c) for c in keep]
+                columns = list(part.columns)
                 columns += [
                     pa.array(np.diff(first)),
                     pa.array([sorted(x, key=lambda p: (p["word"], p["label"])) for x in base], _BASE_TYPE),
                     pa.array(found, _FOUND_TYPE),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *_SCHEMA.names])
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, "new0", "new1", "new2"])
 
-    return docs.select(*keep).mapInArrow(judge, schema)
+    return add_columns(docs, keep, list(_SCHEMA.fields), judge)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

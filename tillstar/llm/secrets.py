@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillstar.llm.common import fresh, stage, table
+from tillstar.llm.common import fresh, quoted, stage, table
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -127,7 +127,7 @@ def scan(
     """
     keep = [c for c in versions.columns if c.lower() not in ("blob", "findings")]
     body, low, known = fresh("body"), fresh("low"), fresh("known")
-    rows = versions.select(*keep, blob_id(F.col(text)).alias("blob"))
+    rows = versions.select(*quoted(keep), blob_id(F.col(text)).alias("blob"))
     blobs = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias(body))
     mine = None
     if ledger is not None:

@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstar.llm.common import _IS_WORD, _LOWER, mix, stage, table, text_slices, word_hashes
+from tillstar.llm.common import _IS_WORD, _LOWER, add_columns, mix, stage, table, text_slices, word_hashes
 
 SAMPLE = 20_000
-N_FEATURES = 512
+N_FEATURES = 256
 FOLDS = 5
 GRAM = 5
 BITS = 18
@@ -62,26 +62,27 @@ def buckets(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Chain:
-    """Per category: weights (features, then earlier probabilities, then the constant) and threshold."""
+    """Per category: its features, weights (features, earlier probabilities, constant) and threshold."""
 
     names: tuple[str, ...]
     lookup: np.ndarray  # bucket -> feature or -1
     n_features: int
+    own: list[np.ndarray] = field(default_factory=list)
     weights: list[np.ndarray] = field(default_factory=list)
     thresholds: list[float] = field(default_factory=list)
 
     def matrix(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(off) - 1, self.n_features))
+        x = np.zeros((len(off) - 1, self.n_features), np.uint8)
         at, b = buckets(data, off)
         f = self.lookup[b]
         hit = f >= 0
-        x[np.searchsorted(off, at[hit], side="right") - 1, f[hit]] = 1.0
+        x[np.searchsorted(off, at[hit], side="right") - 1, f[hit]] = 1
         return x
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
-        for w in self.weights:
-            out = np.column_stack([out, sigmoid(np.column_stack([x, out, np.ones(len(x))]) @ w)])
+        for own, w in zip(self.own, self.weights):
+            out = np.column_stack([out, linear(x[:, own], out, w)])
         return out
 
 
@@ -89,20 +90,35 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 25) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last column (the constant) is not shrunk."""
-    w = np.zeros(x.shape[1])
-    shrink = np.full(x.shape[1], ridge)
+def design(x: np.ndarray, more: np.ndarray, chunk: int = 2048) -> Iterator[tuple[slice, np.ndarray]]:
+    """Row blocks of (presence columns, more columns, constant) as doubles, so that only presence bytes are held whole."""
+    for lo in range(0, len(x), chunk):
+        at = slice(lo, lo + chunk)
+        yield at, np.column_stack([x[at], more[at], np.ones(len(x[at]))])
+
+
+def fit_linear(x: np.ndarray, more: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int = 20) -> np.ndarray:
+    """Ridge logistic regression by Newton steps; the constant is not shrunk."""
+    n = x.shape[1] + more.shape[1] + 1
+    w, shrink = np.zeros(n), np.full(n, ridge)
     shrink[-1] = 1e-6
     for _ in range(rounds):
-        p = sigmoid(x @ w)
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(shrink), x.T @ (y - p) - shrink * w)
+        hessian, slope = np.diag(shrink), -shrink * w
+        for at, d in design(x, more):
+            p = sigmoid(d @ w)
+            hessian += (d * (p * (1 - p))[:, None]).T @ d
+            slope += d.T @ (y[at] - p)
+        step = np.linalg.solve(hessian, slope)
         w += step
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return w
 
 
+def linear(x: np.ndarray, more: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[sigmoid(d @ w) for _, d in design(x, more)]])
+
+
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     """Cut with the best F1 on out-of-fold probabilities; the middle one of equally good cuts."""
     order = np.argsort(-p, kind="stable")
@@ -148,19 +164,21 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
     schema = "b long, " + ", ".join(f"c{i} long" for i in range(1 + 2 * len(ys)))
     sums = rows.mapInArrow(count, schema).groupBy("b").agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(1 + 2 * len(ys))])
     base = rows.agg(*[f(F.col(y)).alias(f"{n}_{y}") for y in ys for n, f in (("n", F.count), ("p", F.sum))]).first()
-    chosen_buckets: set[int] = set()
+    picked: list[list[int]] = []
     for k, y in enumerate(ys):
         n, p = base[f"n_{y}"] or 0, base[f"p_{y}"] or 0
+        picked.append([])
         if not 0 < p < n:
             continue
         a, c = F.col(f"c{2 + 2 * k}"), F.col(f"c{1 + 2 * k}")
         gap = a * F.lit(float(n)) - c * F.lit(float(p))
         chi = gap * gap * n / (c * (F.lit(float(n)) - c) * float(p) * float(n - p))
         top = sums.filter(c < n).select("b", chi.alias("chi")).filter(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "b").limit(n_features)
-        chosen_buckets.update(r["b"] for r in top.collect())  # n_features rows
+        picked[-1] = sorted(r["b"] for r in top.collect())  # n_features rows
+    chosen_buckets = sorted({b for own in picked for b in own})
     lookup = np.full(1 << BITS, -1, np.int32)
-    lookup[sorted(chosen_buckets)] = np.arange(len(chosen_buckets))
-    chain = Chain(names, lookup, len(chosen_buckets))
+    lookup[chosen_buckets] = np.arange(len(chosen_buckets))
+    chain = Chain(names, lookup, len(chosen_buckets), [lookup[own] for own in picked])
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,17 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
     kind = docs.schema["doc_id"].dataType.simpleString()
     got = rows.mapInArrow(features, f"doc_id {kind}, " + ", ".join(f"{y} int" for y in ys) + ", f array<int>").toArrow()  # <= sample rows
     got = got.sort_by([("doc_id", "ascending")])
-    x = np.zeros((len(got), chain.n_features))
-    for i, f in enumerate(got["f"].to_pylist()):
-        x[i, f] = 1.0
+    x = np.zeros((len(got), chain.n_features), np.uint8)
+    for i, f in enumerate(got["f"]):
+        x[i, f.values.to_numpy()] = 1
     fold = np.arange(len(x)) % folds
     earlier = np.zeros((len(x), 0))  # out-of-fold probabilities
-    for y in ys:
+    for y, own in zip(ys, chain.own):
         v = got[y].to_numpy().astype(float)
         known = ~np.isnan(v)
         rate = float(v[known].mean()) if known.any() else 0.0
-        full = np.column_stack([x, earlier, np.ones(len(x))])
-        flat = np.zeros(full.shape[1])
+        mine = x[:, own]
+        flat = np.zeros(len(own) + earlier.shape[1] + 1)
         flat[-1] = np.log((rate + 1e-9) / (1 - rate + 1e-9))
         if not 0 < rate < 1:
             chain.weights.append(flat)
@@ -196,8 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]
         for f in range(folds):
             train = known & (fold != f)
             if 0 < v[train].sum() < train.sum():
-                oof[fold == f] = sigmoid(full[fold == f] @ fit_linear(full[train], v[train]))
-        chain.weights.append(fit_linear(full[known], v[known]))
+                w = fit_linear(mine[train], earlier[train], v[train])
+                oof[fold == f] = linear(mine[fold == f], earlier[fold == f], w)
+        chain.weights.append(fit_linear(mine[known], earlier[known], v[known]))
         chain.thresholds.append(best_threshold(oof[known], v[known]))
         earlier = np.column_stack([earlier, oof])
     return chain
@@ -212,19 +231,19 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
     new = [T.StructField(f"p_{n}", T.DoubleType()) for n in chain.names] + [T.StructField(f"is_{n}", T.BooleanType()) for n in chain.names]
     taken = {f.name.lower() for f in new}
     keep = [c for c in docs.columns if c.lower() not in taken]
-    schema = T.StructType([docs.schema[c] for c in keep] + new)
+    body = f"c{keep.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, off in text_slices(batch, text):
+            for i, j, data, off in text_slices(batch, body):
                 p = chain.predict(chain.matrix(data, off))
                 part = batch.slice(i, j - i)
-                columns = [part.column(c) for c in keep]
+                columns = list(part.columns)
                 columns += [pa.array(p[:, k]) for k in range(len(chain.names))]
                 columns += [pa.array(p[:, k] >= chain.thresholds[k]) for k in range(len(chain.names))]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *[f"new{k}" for k in range(len(new))]])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return add_columns(docs, keep, new, run)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tillstar.llm.common import ascii_lower, fresh
+from tillstar.llm.common import ascii_lower, fresh, quoted
 
 RULES = (
     ("com", "/", "allow"),
@@ -93,7 +93,7 @@ def judge_urls(
     keep = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     row, key, cell, stack, host, path = (fresh(n) for n in ("row", "key", "cell", "stack", "host", "path"))
     urls = pages.select(
-        F.struct(*keep).alias(row),
+        F.struct(*quoted(keep), F.lit(True).alias(fresh("any"))).alias(row),
         host_of(F.col(url)).alias(host),
         path_of(F.col(url)).alias(path),
     ).withColumn(key, host_key(F.col(host)))
@@ -127,7 +127,7 @@ def judge_urls(
     )
     found = fresh("best")
     return swept.withColumn(found, best).select(
-        *[F.col(f"{row}.`{c}`").alias(c) for c in keep],
+        *[F.col(row).getField(c).alias(c) for c in keep],
         F.col(host).alias("host"),
         F.col(path).alias("path"),
         F.col(f"{found}.rule").alias("rule"),
