@@ -6,6 +6,7 @@ from tillstar.functions.columns import (  # noqa: F401
     is_le_zero,
     missing_as_null,
     parse_date,
+    parse_timestamp,
     starts_with_letter,
     title_case,
     year_range,

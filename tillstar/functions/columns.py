@@ -49,12 +49,15 @@ def title_case(c) -> Column:
     )
 
 
-def parse_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
+def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; unparseable text gives null (never raises)."""
     col = _col(c)
     tries = [F.try_to_timestamp(col, F.lit(f)) for f in formats]
-    ts = tries[0] if len(tries) == 1 else F.coalesce(*tries)
-    return ts.cast("date")
+    return tries[0] if len(tries) == 1 else F.coalesce(*tries)
+
+
+def parse_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
+    return parse_timestamp(c, formats).cast("date")
 
 
 def year_range(c, year: int) -> Column:

@@ -112,12 +112,23 @@ def ranking(star: Star, dim: str, n: int = 10, ascending: bool = False, year: in
 
 
 def paired_ranking(star: Star, n: int = 10, ascending: bool = False, year: int | None = None) -> DataFrame:
-    """Country list and product list side by side, tagged by ``dim``."""
-    parts = []
-    for tag, dim in (("country", "country"), ("product", "stockcode")):
-        r = ranking(star, dim, n=n, ascending=ascending, year=year)
-        parts.append(r.select(*_year_col(year), F.lit(tag).alias("dim"), F.col(dim).alias("member"), "n_sales"))
-    return parts[0].unionByName(parts[1])
+    """Country list and product list side by side, tagged by ``dim``, with the place in each list.
+
+    Both come from one join: each sale counts once for its country and once for its product,
+    and a rank cut off before and after the shuffle keeps ``n`` members of each.
+    """
+    sold = star["detailinvoice"].select("invoiceno", "stockcode").join(_invoices(star, year).select("invoiceno", "country"), "invoiceno")
+    member = F.explode(
+        F.array(
+            F.struct(F.lit("country").alias("dim"), F.col("country").alias("member")),
+            F.struct(F.lit("product").alias("dim"), F.col("stockcode").alias("member")),
+        )
+    )
+    counts = sold.select(member.alias("m")).groupBy("m.dim", "m.member").agg(F.count(F.lit(1)).alias("n_sales"))
+    by = F.col("n_sales").asc() if ascending else F.col("n_sales").desc()
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(by, F.col("member").asc_nulls_last()))
+    ranked = counts.withColumn("rank", place).filter(F.col("rank") <= n)
+    return ranked.select(*_year_col(year), "dim", "member", "n_sales", "rank").orderBy("dim", "rank")
 
 
 def kpis(star: Star) -> DataFrame:
@@ -131,7 +142,7 @@ def kpis(star: Star) -> DataFrame:
         star["product"].agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("products")),
         star["country"].agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("countries")),
         star["detailinvoice"]
-        .agg(F.coalesce(F.sum("totalcost").cast("long"), F.lit(0).cast("long")).alias("v"))
+        .agg(F.coalesce(F.sum(F.col("totalcost").cast("decimal(28,2)")).cast("long"), F.lit(0).cast("long")).alias("v"))
         .withColumn("k", F.lit("revenue")),
     ]
     stacked = parts[0]
@@ -153,6 +164,7 @@ def monthly(star: Star) -> DataFrame:
         .groupBy("month")
         .agg(F.sum("_n").alias("n_sales"), F.round(F.sum("_cost")).cast("long").alias("revenue"))
         .select(F.col("month").cast("int").alias("month"), "n_sales", "revenue")
+        .orderBy(F.col("month").asc_nulls_last())
     )
 
 
@@ -164,7 +176,7 @@ def monthly_dense(star: Star) -> DataFrame:
         "month",
         F.coalesce("n_sales", F.lit(0).cast("long")).alias("n_sales"),
         F.coalesce("revenue", F.lit(0).cast("long")).alias("revenue"),
-    )
+    ).orderBy("month")
 
 
 def country_product_revenue(star: Star, country: str, n: int = 10) -> DataFrame:
@@ -203,17 +215,44 @@ def price_list(star: Star, products: DataFrame | None = None) -> DataFrame:
         prod.select("stockcode", "description")
         .join(_price_stats(star), "stockcode")
         .select("stockcode", "description", _mean_price())
+        .orderBy("stockcode")
     )
 
 
-def price_search(star: Star, term: str, offset: int = 0, n: int = 25) -> DataFrame:
-    """One page of the price list filtered on a case-insensitive substring.
+def price_search(
+    star: Star,
+    term: str,
+    offset: int = 0,
+    n: int = 25,
+    sort: str = "stockcode",
+    descending: bool = False,
+    after: tuple | None = None,
+) -> DataFrame:
+    """One page of the price list whose code, description or price contains a text, in any case.
 
-    The filter runs on the product table before the join; paging is by stockcode.
+    Sorted by ``sort`` (stockcode, description or mean_price), ties by stockcode.  A page is
+    ``n`` rows after ``offset`` rows or, without reading what lies before it, ``after`` the last
+    page's (sort value, stockcode).
     """
+    if sort not in ("stockcode", "description", "mean_price"):
+        raise ValueError("sort must be stockcode, description or mean_price")
     t = term.lower()
-    hit = F.lower(F.col("description")).contains(t) | F.lower(F.col("stockcode")).contains(t)
-    page = price_list(star, star["product"].filter(hit)).orderBy("stockcode")
+    rows = price_list(star)
+    cells = [F.lower(F.col("stockcode")), F.lower(F.col("description")), F.col("mean_price").cast("string")]
+    hit = F.lit(False)
+    for c in cells:
+        hit = hit | F.coalesce(c.contains(t), F.lit(False))
+    rows = rows.filter(hit)
+    key = F.col(sort)
+    if after is not None:
+        value, code = after
+        beyond = key < F.lit(value) if descending else key > F.lit(value)
+        if value is None:  # nulls are last either way
+            beyond, same = F.lit(False), key.isNull()
+        else:
+            beyond, same = beyond | key.isNull(), key == F.lit(value)
+        rows = rows.filter(beyond | (same & (F.col("stockcode") > F.lit(code))))
+    page = rows.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_last(), "stockcode")
     return page.offset(offset).limit(n) if offset else page.limit(n)
 
 

@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tillstar.functions import is_le_zero, starts_with_letter, title_case
 from tillstar.operators.dedupe import first_per_key
-from tillstar.operators.quality import KEY, ORDER, first_rule
-from tillstar.schema import COST_EXACT, MISSING_DESCRIPTION, RAW_COLUMNS, UNSPECIFIED_COUNTRY
+from tillstar.operators.quality import KEY, ORDER, first_rule, full_row
+from tillstar.schema import MISSING_DESCRIPTION, RAW_COLUMNS, UNSPECIFIED_COUNTRY
 
 MODES = ("intended", "as_written")
 CLEAN_COLUMNS = tuple(RAW_COLUMNS) + ("totalcost",)
@@ -37,7 +37,7 @@ CLEAN_COLUMNS = tuple(RAW_COLUMNS) + ("totalcost",)
 
 def with_totalcost(df: DataFrame) -> DataFrame:
     """Exact line cost, narrowed only when loaded."""
-    return df.withColumn("totalcost", (F.col("unitprice") * F.col("quantity")).cast(COST_EXACT))
+    return df.withColumn("totalcost", F.col("unitprice") * F.col("quantity"))
 
 
 def repair(df: DataFrame, mode: str = "intended") -> DataFrame:
@@ -82,7 +82,7 @@ def classify(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS, order: str =
       seen more than once; that side holds one row per duplicated group, so
       AQE can broadcast it at run time even when one row repeats a billion times.
     """
-    cols = list(columns)
+    cols = full_row(raw, columns)
     lineage = [c for c in raw.columns if c not in cols and c != order]
     every = [*cols, order, *lineage]
     groups = raw.groupBy(*cols).agg(

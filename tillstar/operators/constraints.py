@@ -3,7 +3,7 @@
 Parquet enforces no keys or limits, so each constraint is a DataFrame check:
 report functions return one row per checked column / relation with the number
 of violations, and :func:`enforce` splits a cleaned batch into rows that can
-be loaded and rows routed to ``rejected`` with the first broken constraint.
+be loaded and rows routed to the rejects with the first broken constraint.
 """
 
 from __future__ import annotations
@@ -12,17 +12,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tillstar.functions import parse_date
-from tillstar.schema import CUSTOMER, MAX_LEN, PRICE, QTY
+from tillstar.schema import Limits
 
 UNPARSED = "_unparsed"
 
 # NOT NULL columns of the loaded tables (country, stockcode and invoiceno are keys).
 NOT_NULL = ("invoiceno", "stockcode", "country", "quantity")
-# Narrowing done at load time.
-NARROW = {"unitprice": PRICE, "quantity": QTY, "totalcost": PRICE, "customerid": CUSTOMER}
 
 
 def _report(df: DataFrame, check: str, flags: Mapping[str, Column]) -> DataFrame:
@@ -42,15 +39,15 @@ def not_null_report(df: DataFrame, columns: Sequence[str] = NOT_NULL) -> DataFra
     return _report(df, "not_null", {c: F.col(c).isNull() for c in columns})
 
 
-def length_report(df: DataFrame, limits: Mapping[str, int] = MAX_LEN) -> DataFrame:
+def length_report(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Text longer than the column allows."""
-    return _report(df, "max_length", {c: F.char_length(c) > n for c, n in limits.items()})
+    return _report(df, "max_length", {c: F.char_length(c) > n for c, n in limits.max_len.items()})
 
 
-def decimal_range_report(df: DataFrame, targets: Mapping[str, T.DecimalType] = NARROW) -> DataFrame:
+def decimal_range_report(df: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Values that do not fit the narrower warehouse decimal."""
     return _report(
-        df, "decimal_range", {c: F.col(c).isNotNull() & F.col(c).try_cast(t).isNull() for c, t in targets.items()}
+        df, "decimal_range", {c: F.col(c).isNotNull() & F.col(c).try_cast(t).isNull() for c, t in limits.narrow.items()}
     )
 
 
@@ -81,16 +78,16 @@ def orphan_report(child: DataFrame, parent: DataFrame, relation: str, fk: str, p
     return orphans.agg(F.lit(relation).alias("relation"), F.count(F.lit(1)).alias("n_orphans"))
 
 
-def violation(df: DataFrame) -> Column:
+def violation(df: DataFrame, limits: Limits = Limits()) -> Column:
     """Label of the first constraint a cleaned row breaks (null: loadable)."""
     checks: list[tuple[Column, str]] = []
     if UNPARSED in df.columns:
         checks.append((F.size(F.col(UNPARSED)) > 0, "unparseable"))
     checks += [(F.col(c).isNull(), f"not_null:{c}") for c in NOT_NULL]
-    checks += [(F.char_length(c) > n, f"max_length:{c}") for c, n in MAX_LEN.items()]
+    checks += [(F.char_length(c) > n, f"max_length:{c}") for c, n in limits.max_len.items()]
     checks += [
         (F.col(c).isNotNull() & F.col(c).try_cast(t).isNull(), f"decimal_range:{c}")
-        for c, t in NARROW.items()
+        for c, t in limits.narrow.items()
         if c in df.columns
     ]
     label = None
@@ -99,9 +96,9 @@ def violation(df: DataFrame) -> Column:
     return label
 
 
-def enforce(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+def enforce(df: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """Split cleaned rows into (loadable, rejected-with-``rejected_by``)."""
-    tagged = df.withColumn("rejected_by", violation(df))
+    tagged = df.withColumn("rejected_by", violation(df, limits))
     ok = tagged.filter(F.col("rejected_by").isNull()).drop("rejected_by")
     bad = tagged.filter(F.col("rejected_by").isNotNull())
     return ok, bad

@@ -21,59 +21,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillstar.operators.clean import classify, repair
-from tillstar.operators.constraints import violation
+from tillstar.operators.constraints import enforce
 from tillstar.operators.dedupe import first_per_key
-from tillstar.operators.joins import broadcast_if_small
-from tillstar.schema import CUSTOMER, DEFAULT_ZONE, LOAD_ORDER, PRICE, QTY, STAR
+from tillstar.schema import DEFAULT_ZONE, LOAD_ORDER, STAR, Limits
 from tillstar.sources.warehouse import Warehouse
 
 ORDER = "_order"
 
 
 def insert_if_absent(
-    target: DataFrame, batch: DataFrame, keys: Sequence[str], order: str = ORDER, unique: bool = False
+    target: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    order: str = ORDER,
+    unique: bool = False,
+    bounds: tuple | None = None,
 ) -> DataFrame:
     """Rows of ``batch`` whose key is not yet in ``target`` (first per key in ``order``).
 
     ``unique=True`` states that ``batch`` already holds one row per key (a
     cleaned batch is unique on the fact key), which skips the per-key selection.
 
-    Only the key columns of the target are read (column pruning at the scan);
-    the anti join shuffles batch and target keys once, and AQE turns it into
-    a broadcast at run time when the measured batch side is small.
+    Only the key columns of the target are read (column pruning at the scan), and
+    with ``bounds`` (smallest and largest first key of the batch) only files and
+    row groups whose key range meets the batch's, so that months with invoice
+    numbers of their own do not read the history again.
     """
+    if bounds is not None:
+        lo, hi = bounds
+        target = target.filter(F.lit(False)) if lo is None else target.filter(F.col(keys[0]).between(F.lit(lo), F.lit(hi)))
     firsts = batch if unique else first_per_key(batch, list(keys), order)
     return firsts.join(target.select(*keys), list(keys), "left_anti")
 
 
-def project(batch: DataFrame, name: str, zone_map: DataFrame | None = None) -> DataFrame:
+def project(batch: DataFrame, name: str, zone_map: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
     """Batch rows shaped (and narrowed) for one star table, ``_order`` kept."""
     if name == "country":
         out = batch.select("country", ORDER)
         if zone_map is None:
             return out.withColumn("zone", F.lit(DEFAULT_ZONE))
-        zones = broadcast_if_small(zone_map.select("country", F.col("zone").alias("_zone")), 10_000)
+        zones = zone_map.select("country", F.col("zone").alias("_zone"))
         return out.join(zones, "country", "left").withColumn(
             "zone", F.coalesce(F.col("_zone"), F.lit(DEFAULT_ZONE))
         ).drop("_zone")
     if name == "product":
         return batch.select("stockcode", "description", ORDER)
     if name == "invoice":
-        return batch.select("invoiceno", "invoicedate", F.col("customerid").cast(CUSTOMER).alias("customerid"),
-                            "country", ORDER)
+        return batch.select(
+            "invoiceno",
+            F.col("invoicedate").cast("date").alias("invoicedate"),
+            F.col("customerid").cast(limits.customer).alias("customerid"),
+            "country",
+            ORDER,
+        )
     if name == "detailinvoice":
         return batch.select(
             "invoiceno", "stockcode",
-            F.col("unitprice").cast(PRICE).alias("unitprice"),
-            F.col("quantity").cast(QTY).alias("quantity"),
-            F.col("totalcost").cast(PRICE).alias("totalcost"),
+            F.col("unitprice").cast(limits.price).alias("unitprice"),
+            F.col("quantity").cast(limits.quantity).alias("quantity"),
+            F.col("totalcost").cast(limits.cost).alias("totalcost"),
             ORDER,
         )
     raise ValueError(name)
 
 
 def merge_star(
-    star: Mapping[str, DataFrame], batch: DataFrame, zone_map: DataFrame | None = None
+    star: Mapping[str, DataFrame],
+    batch: DataFrame,
+    zone_map: DataFrame | None = None,
+    limits: Limits = Limits(),
+    bounds: Mapping[str, tuple] | None = None,
 ) -> dict[str, DataFrame]:
     """Pure form: the new rows of every table for one cleaned, checked batch.
 
@@ -83,8 +100,15 @@ def merge_star(
     out = {}
     for name in LOAD_ORDER:
         _, keys = STAR[name]
+        rows = project(batch, name, zone_map, limits)
+        if name == "country" and zone_map is None:
+            rows = rows.groupBy(*keys).agg(F.first("zone").alias("zone"))  # all alike: no order to keep
         out[name] = insert_if_absent(
-            star[name], project(batch, name, zone_map), keys, unique=(name == "detailinvoice")
+            star[name],
+            rows,
+            keys,
+            unique=name == "detailinvoice" or ORDER not in rows.columns,
+            bounds=bounds[keys[0]] if bounds else None,
         )
     return out
 
@@ -100,25 +124,30 @@ def load(
     """Clean ``raw``, check constraints, merge into the warehouse, commit.
 
     Returns False (and does nothing) when ``batch_id`` is already committed.
-    Every raw row is classified once and staged (that also cuts the lineage
-    back to the CSV scan); kept rows, constraint rejects and cleaning rejects
-    are all read from the staged copy.  The manifest row is written last.
+    The typed rows are staged first, so the export is parsed once and positions
+    are fixed; they are classified from that copy, and the outcome is staged too.
+    Kept rows, constraint rejects and cleaning rejects are all read from it.
+    Text lengths and decimal widths are the warehouse's ``limits``.  The
+    manifest row is written last.
     """
     ids = wh.committed()
     if batch_id in ids:
         return False
-    staged = wh.stage(classify(raw), batch_id)
+    rows = wh.stage(raw, batch_id, "_raw")
+    staged = wh.stage(classify(rows), batch_id)
     kept = repair(staged.filter(F.col("rejected_by").isNull()).drop("rejected_by"), mode)
-    checked = kept.withColumn("rejected_by", violation(kept))
-    ok = checked.filter(F.col("rejected_by").isNull()).drop("rejected_by")
+    ok, bad = enforce(kept, wh.limits)
     star = wh.star(ids)
-    for name, rows in merge_star(star, ok, zone_map).items():
-        wh.write_batch(name, rows, batch_id)
+    firsts = sorted({keys[0] for _, keys in STAR.values()})
+    edges = ok.agg(*[f(c).alias(f"{n}_{c}") for c in firsts for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    bounds = {c: (edges[f"lo_{c}"], edges[f"hi_{c}"]) for c in firsts}
+    for name, new in merge_star(star, ok, zone_map, wh.limits, bounds).items():
+        wh.write_batch(name, new, batch_id)
     dropped = staged.filter(F.col("rejected_by").isNotNull()).drop("totalcost")
-    refused = checked.filter(F.col("rejected_by").isNotNull()).select(*dropped.columns)
-    wh.write_rejected(dropped.unionByName(refused), batch_id)
+    wh.write_rejected(dropped.unionByName(bad.select(*dropped.columns)), batch_id)
     wh.commit(batch_id, files)
     wh.clear_stage(batch_id, staged.schema)
+    wh.clear_stage(batch_id, rows.schema, "_raw")
     return True
 
 

@@ -27,19 +27,27 @@ from tillstar.schema import CLEAN_GATE_PCT, RAW_COLUMNS
 
 KEY = ("invoiceno", "stockcode")
 ORDER = "_order"
+UNPARSED = "_unparsed"
 
 # Rejection labels, in the order the cleaning steps run.
 RULES = ("duplicate_row", "duplicate_key", "quantity_le0", "price_le0", "letter_code")
 KEPT = "kept"
 
 
+def full_row(raw: DataFrame, columns: Sequence[str]) -> list[str]:
+    """What makes a row: its cells, and the text of those that did not parse."""
+    return [*columns, UNPARSED] if UNPARSED in raw.columns else list(columns)
+
+
 def _null_cells(cols: Sequence[str]) -> Column:
-    return sum((F.col(c).isNull().cast("long") for c in cols), F.lit(0).cast("long"))
+    """Missing cells; one whose text did not parse is not missing."""
+    missing = sum((F.col(c).isNull().cast("long") for c in cols if c != UNPARSED), F.lit(0).cast("long"))
+    return missing - F.size(UNPARSED) if UNPARSED in cols else missing
 
 
 def quality_report(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """One-row report: counts of rows to delete / repair and the cleaning advice."""
-    cols = list(columns)
+    cols = full_row(raw, columns)
     groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
     weight = F.col("_c")
 
@@ -103,7 +111,7 @@ def quality_by_rule(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS, order:
     distinct row but the earliest; the earliest row of each key then meets the
     quantity, price and letter-code rules in that order.
     """
-    cols = list(columns)
+    cols = full_row(raw, columns)
     groups = raw.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"), F.min(order).alias("_first"))
     per_key = groups.groupBy(*KEY).agg(
         F.sum("_c").alias("_rows"),

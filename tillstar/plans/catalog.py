@@ -45,6 +45,9 @@ def analytics_queries() -> dict[str, Query]:
     q["product_price_search"] = lambda spark, d: A.price_search(
         star(spark, d), P.SEARCH_TERM, offset=P.SEARCH_OFFSET, n=P.SEARCH_PAGE
     )
+    q["product_price_search_by_price"] = lambda spark, d: A.price_search(
+        star(spark, d), P.SEARCH_PRICE, n=P.SEARCH_PAGE, sort="mean_price", descending=True
+    )
     q["region_product_top3"] = lambda spark, d: A.region_product_top(star(spark, d), k=P.JOINT_TOP_K)
     return q
 

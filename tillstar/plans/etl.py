@@ -14,8 +14,9 @@ from tillstar.operators import clean as C
 from tillstar.operators import constraints as K
 from tillstar.operators.merge import load
 from tillstar.operators.quality import quality_by_rule, quality_report
-from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, star
-from tillstar.schema import LOAD_ORDER, MISSING_DESCRIPTION, RAW_COLUMNS, STAR, UNSPECIFIED_COUNTRY
+from tillstar.operators import analytics as A
+from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, star, strained_export, text_export
+from tillstar.schema import LOAD_ORDER, MISSING_DESCRIPTION, RAW_COLUMNS, STAR, UNSPECIFIED_COUNTRY, WIDE
 from tillstar.session import scratch_path
 from tillstar.sources.export import export_files, read_export, read_landing, write_export
 from tillstar.sources.warehouse import Warehouse
@@ -26,23 +27,22 @@ CLEAN_OUT = list(C.CLEAN_COLUMNS)
 MIXED_HEADER = ("InvoiceNo", "StockCode", "Description", "Quantity", "InvoiceDate", "UnitPrice", "CustomerID", "Country")
 ISO_DATE = "yyyy-MM-dd"
 
-_loaded: dict[tuple, str] = {}
-
-
 def _dirty(spark: SparkSession, d: str) -> DataFrame:
     return dirty_export(spark, d)
 
 
 def _two_batch_warehouse(spark: SparkSession, d: str) -> Warehouse:
-    """Batch A then batch B merged into a fresh warehouse (built once per session and input)."""
-    key = (id(spark.sparkContext), d)
-    if key not in _loaded:
-        wh = Warehouse(spark, scratch_path(spark, "warehouse"))
-        dirty = _dirty(spark, d)
-        load(wh, batch_a(dirty), "A")
-        load(wh, batch_b(dirty), "B")
-        _loaded[key] = wh.root
-    return Warehouse(spark, _loaded[key])
+    """Batch A then batch B merged into a fresh warehouse."""
+    wh = _warehouse(spark)
+    dirty = _dirty(spark, d)
+    load(wh, batch_a(dirty), "A")
+    load(wh, batch_b(dirty), "B")
+    return wh
+
+
+def _warehouse(spark: SparkSession) -> Warehouse:
+    """A fresh warehouse with room for any order and customer number of the driver tables."""
+    return Warehouse(spark, scratch_path(spark, "warehouse"), WIDE)
 
 
 def _counts(wh: Warehouse) -> DataFrame:
@@ -54,19 +54,77 @@ def _counts(wh: Warehouse) -> DataFrame:
 
 
 def load_twice(spark: SparkSession, d: str) -> DataFrame:
-    wh = Warehouse(spark, scratch_path(spark, "warehouse"))
-    a = batch_a(_dirty(spark, d))
-    load(wh, a, "A")
-    load(wh, a, "A")   # committed id: no-op
-    load(wh, a, "A2")  # same rows, new id: nothing new
+    wh = _warehouse(spark)
+    rows = _dirty(spark, d)
+    load(wh, rows, "A")
+    load(wh, rows, "A")   # committed id: no-op
+    load(wh, rows, "A2")  # same rows, new id: nothing new
     return _counts(wh)
 
 
 def warehouse_reset(spark: SparkSession, d: str) -> DataFrame:
-    wh = Warehouse(spark, scratch_path(spark, "warehouse"))
-    load(wh, batch_a(_dirty(spark, d)), "A")
+    """A load, a reset, and a load of other rows under the same batch id: only those are there."""
+    wh = _warehouse(spark)
+    load(wh, _dirty(spark, d), "A")
     wh.reset(confirm=True)
-    return _counts(wh)
+    if wh.rejected() is not None or any(t.head(1) for t in wh.star().values()):
+        raise RuntimeError("rows survived the reset")
+    load(wh, batch_b(_dirty(spark, d)), "A")
+    return wh.table("detailinvoice")
+
+
+def load_rejected(spark: SparkSession, d: str) -> DataFrame:
+    """What a load into a warehouse with the default lengths and widths refuses, with the rule broken."""
+    wh = Warehouse(spark, scratch_path(spark, "warehouse"))
+    load(wh, strained_export(_dirty(spark, d)), "A")
+    return wh.rejected().select(*RAW_COLUMNS, "rejected_by")
+
+
+def load_long_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Invoices whose numbers have 8 and more digits load where the limits allow them."""
+    wh = _warehouse(spark)
+    longer = F.concat("invoiceno", F.lit("00000000"))
+    load(wh, _dirty(spark, d).withColumn("invoiceno", longer), "A")
+    return wh.table("invoice")
+
+
+def _text_csv(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    write_export(text_export(_dirty(spark, d)), path)
+    return read_export(spark, path, order_by="path")
+
+
+def clean_rows_csv(spark: SparkSession, d: str) -> DataFrame:
+    return C.clean(_text_csv(spark, d)).select(*RAW_COLUMNS, F.col("totalcost").cast("decimal(28,8)").alias("totalcost"))
+
+
+# A second spelling of the contract: other order, other case.
+OTHER_ORDER = ("STOCKCODE", "InvoiceNo", "unitprice", "Country", "Quantity", "description", "customerID", "INVOICEDATE")
+
+
+def _mixed_landing(spark: SparkSession, d: str) -> str:
+    """A landing folder whose two exports have their columns in different order."""
+    landing = scratch_path(spark, "landing")
+    dirty = _dirty(spark, d)
+    write_export(batch_a(dirty), f"{landing}/1")
+    text = batch_b(dirty).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), ORDER).sortWithinPartitions(ORDER)
+    cells = {c.lower(): F.col(c.lower()).cast("string") for c in OTHER_ORDER}
+    cells["invoicedate"] = F.date_format(F.col("invoicedate").cast("timestamp"), "M/d/yyyy H:mm")
+    rows = text.select(*[cells[c.lower()].alias(c) for c in OTHER_ORDER])
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').option("encoding", "ISO-8859-1").csv(f"{landing}/2")
+    return landing
+
+
+def landing_mixed_headers(spark: SparkSession, d: str) -> DataFrame:
+    wh = _warehouse(spark)
+    load(wh, read_landing(spark, _mixed_landing(spark, d), order_by="path"), "A")
+    return wh.table("detailinvoice")
+
+
+def stream_mixed_headers(spark: SparkSession, d: str) -> DataFrame:
+    root = scratch_path(spark, "warehouse")
+    ingest(spark, _mixed_landing(spark, d), root, scratch_path(spark, "stream-checkpoint"), order_by="path", limits=WIDE)
+    return Warehouse(spark, root, WIDE).table("detailinvoice")
 
 
 def stage_replace(spark: SparkSession, d: str) -> DataFrame:
@@ -81,14 +139,20 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "export")
     write_export(_dirty(spark, d), path)
     back = read_export(spark, path, order_by="path")
-    return back.select(*RAW_COLUMNS, F.size("_unparsed").alias("n_unparsed"))
+    return _as_written(back).select(*RAW_COLUMNS, F.size("_unparsed").alias("n_unparsed"))
+
+
+def _as_written(back: DataFrame) -> DataFrame:
+    """What the typed export had, from the wider types of a CSV read."""
+    kinds = {"quantity": "decimal(8,0)", "unitprice": "decimal(18,6)", "invoicedate": "date", "totalcost": "decimal(27,6)"}
+    return back.withColumns({c: F.col(c).cast(t) for c, t in kinds.items() if c in back.columns})
 
 
 def csv_header_any_case(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "export")
     write_export(_dirty(spark, d), path, header=MIXED_HEADER)
     back = read_export(spark, path, order_by="path")
-    return C.clean(back).select(*CLEAN_OUT)
+    return _as_written(C.clean(back)).select(*CLEAN_OUT)
 
 
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +162,8 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     dirty = _dirty(spark, d)
     for batch in (batch_a(dirty), batch_b(dirty)):
         write_export(batch, landing, mode="append")
-        ingest(spark, landing, root, ckpt, order_by="path")
-    return Warehouse(spark, root).table("detailinvoice")
+        ingest(spark, landing, root, ckpt, order_by="path", limits=WIDE)
+    return Warehouse(spark, root, WIDE).table("detailinvoice")
 
 
 def landing_incremental(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +173,7 @@ def landing_incremental(spark: SparkSession, d: str) -> DataFrame:
     warehouse ledger already lists (S05, S06); nothing is deleted.
     """
     landing = scratch_path(spark, "landing")
-    wh = Warehouse(spark, scratch_path(spark, "warehouse"))
+    wh = _warehouse(spark)
     dirty = _dirty(spark, d)
     for bid, batch in (("A", batch_a(dirty)), ("B", batch_b(dirty))):
         write_export(batch, f"{landing}/{bid}")
@@ -147,17 +211,24 @@ def constraint_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def constraint_orphans(spark: SparkSession, d: str) -> DataFrame:
+    """Against parents of which some rows are missing."""
     s = star(spark, d)
+    invoice = s["invoice"].filter(~F.col("invoiceno").endswith("7"))
+    product = s["product"].filter(~F.col("stockcode").endswith("3"))
+    country = s["country"].filter(~F.col("country").endswith("4"))
     return (
-        K.orphan_report(s["detailinvoice"], s["invoice"], "detailinvoice->invoice", "invoiceno")
-        .unionByName(K.orphan_report(s["detailinvoice"], s["product"], "detailinvoice->product", "stockcode"))
-        .unionByName(K.orphan_report(s["invoice"], s["country"], "invoice->country", "country"))
+        K.orphan_report(s["detailinvoice"], invoice, "detailinvoice->invoice", "invoiceno")
+        .unionByName(K.orphan_report(s["detailinvoice"], product, "detailinvoice->product", "stockcode"))
+        .unionByName(K.orphan_report(s["invoice"], country, "invoice->country", "country"))
     )
 
 
 def etl_queries() -> dict:
     q = {
         "quality_report": lambda spark, d: quality_report(_dirty(spark, d)),
+        "quality_report_csv": lambda spark, d: quality_report(_text_csv(spark, d)),
+        "quality_report_clean": lambda spark, d: quality_report(C.clean(_dirty(spark, d))),
+        "clean_rows_csv": clean_rows_csv,
         "quality_by_rule": lambda spark, d: quality_by_rule(_dirty(spark, d)),
         "clean_rows": lambda spark, d: C.clean(_dirty(spark, d)).select(*CLEAN_OUT),
         "clean_rows_as_written": lambda spark, d: C.clean(_dirty(spark, d), mode="as_written").select(*CLEAN_OUT),
@@ -166,12 +237,12 @@ def etl_queries() -> dict:
         .groupBy(F.col("country").alias("country_raw"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .withColumn("country", C.title_case("country_raw")),
-        "clean_fill_missing": lambda spark, d: C.clean(_dirty(spark, d))
+        "clean_fill_missing": lambda spark, d: C.clean(strained_export(_dirty(spark, d)))
         .filter((F.col("description") == MISSING_DESCRIPTION) | (F.col("country") == UNSPECIFIED_COUNTRY))
         .select("invoiceno", "stockcode", "description", "country"),
-        "constraint_not_null": lambda spark, d: K.not_null_report(_dirty(spark, d)),
-        "constraint_length": lambda spark, d: K.length_report(_dirty(spark, d)),
-        "constraint_decimal_range": lambda spark, d: K.decimal_range_report(C.with_totalcost(_dirty(spark, d))),
+        "constraint_not_null": lambda spark, d: K.not_null_report(strained_export(_dirty(spark, d))),
+        "constraint_length": lambda spark, d: K.length_report(strained_export(_dirty(spark, d))),
+        "constraint_decimal_range": lambda spark, d: K.decimal_range_report(C.with_totalcost(strained_export(_dirty(spark, d)))),
         "constraint_unique": constraint_unique,
         "constraint_orphans": constraint_orphans,
         "constraint_dates": constraint_dates,
@@ -186,4 +257,11 @@ def etl_queries() -> dict:
     q["csv_header_any_case"] = csv_header_any_case
     q["stream_ingest"] = stream_ingest
     q["landing_incremental"] = landing_incremental
+    q["landing_mixed_headers"] = landing_mixed_headers
+    q["stream_mixed_headers"] = stream_mixed_headers
+    q["load_rejected"] = load_rejected
+    q["load_long_numbers"] = load_long_numbers
+    q["warehouse_country_top"] = lambda spark, d: A.ranking(_two_batch_warehouse(spark, d).star(), "country")
+    q["warehouse_monthly"] = lambda spark, d: A.monthly(_two_batch_warehouse(spark, d).star())
+    q["warehouse_price_list"] = lambda spark, d: A.price_list(_two_batch_warehouse(spark, d).star())
     return q

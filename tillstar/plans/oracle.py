@@ -29,7 +29,7 @@ w_country AS (SELECT n_name AS country, 'Earth' AS zone FROM nation),
 w_product AS (SELECT CAST(p_partkey AS VARCHAR) AS stockcode, p_name AS description FROM part),
 w_invoice AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS invoiceno, CAST(o_orderdate AS DATE) AS invoicedate,
-         CAST(o_custkey AS DECIMAL(8,1)) AS customerid, n_name AS country
+         CAST(o_custkey AS DECIMAL(19,1)) AS customerid, n_name AS country
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
 w_detail AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS invoiceno, CAST(l_partkey AS VARCHAR) AS stockcode,
@@ -58,14 +58,24 @@ def _ranking_body(dim: str, asc: bool, year: int | None) -> str:
 
 def _pair_body(asc: bool, year: int | None) -> str:
     ycol = "" if year is None else "year, "
+    direction = "ASC" if asc else "DESC"
     parts = []
     for tag, dim in (("country", "country"), ("product", "stockcode")):
+        place = f"row_number() OVER (ORDER BY n_sales {direction}, {dim} ASC NULLS LAST)"
         parts.append(
-            f"SELECT {ycol}'{tag}' AS dim, {dim} AS member, n_sales FROM ({_ranking_body(dim, asc, year)})"
+            f"SELECT {ycol}'{tag}' AS dim, {dim} AS member, n_sales, CAST({place} AS INTEGER) AS rank "
+            f"FROM ({_ranking_body(dim, asc, year)})"
         )
     return " UNION ALL ".join(parts)
 
 
+def _price_sql(dtype: str = "DECIMAL(8,2)") -> str:
+    return f"""SELECT p.stockcode, p.description,
+       CASE WHEN n > 0 THEN {_money(_half_up('c', 'n'), dtype)} END AS mean_price
+FROM w_product p JOIN (SELECT stockcode, sum(CAST(unitprice * 100 AS BIGINT)) AS c, count(unitprice) AS n
+                       FROM w_detail GROUP BY stockcode) USING (stockcode)"""
+
+
 def analytics_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["kpi_home"] = with_star(
@@ -88,26 +98,29 @@ def analytics_sql() -> dict[str, str]:
         "SELECT CAST(month(invoicedate) AS INTEGER) AS month, count(*) AS n_sales, "
         "CAST(round(sum(totalcost)) AS BIGINT) AS revenue FROM w_sales GROUP BY 1"
     )
-    q["monthly_sales"] = with_star(monthly)
+    q["monthly_sales"] = with_star(monthly + " ORDER BY 1 NULLS LAST")
     q["monthly_sales_dense"] = with_star(
         f"""SELECT CAST(m.month AS INTEGER) AS month, COALESCE(s.n_sales, 0) AS n_sales,
        COALESCE(s.revenue, 0) AS revenue
-FROM range(1, 13) AS m(month) LEFT JOIN ({monthly}) s ON s.month = m.month"""
+FROM range(1, 13) AS m(month) LEFT JOIN ({monthly}) s ON s.month = m.month ORDER BY 1"""
     )
     q["country_product_revenue_top"] = with_star(
         f"""SELECT stockcode, count(stockcode) AS n_lines, CAST(round(sum(totalcost)) AS BIGINT) AS revenue
 FROM w_sales WHERE country = '{P.DRILL_COUNTRY}' GROUP BY stockcode
 ORDER BY revenue DESC NULLS LAST, stockcode ASC NULLS LAST LIMIT {P.TOP_N}"""
     )
-    price = f"""SELECT p.stockcode, p.description,
-       CASE WHEN n > 0 THEN {_money(_half_up('c', 'n'))} END AS mean_price
-FROM w_product p JOIN (SELECT stockcode, sum(CAST(unitprice * 100 AS BIGINT)) AS c, count(unitprice) AS n
-                       FROM w_detail GROUP BY stockcode) USING (stockcode)"""
-    q["product_price_list"] = with_star(price)
+    price = _price_sql()
+    q["product_price_list"] = with_star(price + " ORDER BY stockcode")
     t = P.SEARCH_TERM.lower()
     q["product_price_search"] = with_star(
         f"""SELECT * FROM ({price}) WHERE lower(description) LIKE '%{t}%' OR lower(stockcode) LIKE '%{t}%'
+   OR CAST(mean_price AS VARCHAR) LIKE '%{t}%'
 ORDER BY stockcode LIMIT {P.SEARCH_PAGE} OFFSET {P.SEARCH_OFFSET}"""
+    )
+    q["product_price_search_by_price"] = with_star(
+        f"""SELECT * FROM ({price}) WHERE lower(description) LIKE '%{P.SEARCH_PRICE}%' OR lower(stockcode) LIKE '%{P.SEARCH_PRICE}%'
+   OR CAST(mean_price AS VARCHAR) LIKE '%{P.SEARCH_PRICE}%'
+ORDER BY mean_price DESC NULLS LAST, stockcode LIMIT {P.SEARCH_PAGE}"""
     )
     q["region_product_top3"] = with_star(
         f"""SELECT country, stockcode, n_sales, CAST(rnk AS INTEGER) AS rank FROM (
@@ -138,14 +151,28 @@ d_base AS (
          CAST(o_orderdate AS DATE) AS invoicedate,
          CASE WHEN (l_orderkey + l_partkey) % 101 = 0 THEN CAST(0 AS DECIMAL(18,6))
               ELSE {_money(_UNIT_CENTS, 'DECIMAL(18,6)')} END AS unitprice,
-         CAST(CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS DECIMAL(8,1)) AS customerid,
+         CAST(CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey END AS DECIMAL(19,1)) AS customerid,
          upper(n_name) AS country,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey),
 dirty AS (SELECT 0 AS copy, * FROM d_base UNION ALL SELECT 1 AS copy, * FROM d_base WHERE l_orderkey % 50 = 0),
 batch_a AS (SELECT * FROM dirty WHERE l_orderkey % 3 <> 0),
-batch_b AS (SELECT * REPLACE (invoicedate + 30 AS invoicedate) FROM dirty WHERE l_orderkey % 3 <> 1)"""
+batch_b AS (SELECT * REPLACE (invoicedate + 30 AS invoicedate) FROM dirty WHERE l_orderkey % 3 <> 1),
+strained AS (SELECT * REPLACE (
+    CASE WHEN l_orderkey % 61 = 0 THEN NULL WHEN l_orderkey % 67 = 0 THEN invoiceno || '00000000' ELSE invoiceno END AS invoiceno,
+    CASE WHEN l_partkey % 53 = 0 THEN NULL ELSE stockcode END AS stockcode,
+    CASE WHEN l_partkey % 71 = 0 THEN repeat(description, 12) ELSE description END AS description,
+    CASE WHEN l_linenumber = 5 AND l_orderkey % 3 = 0 THEN NULL ELSE quantity END AS quantity,
+    CAST(CASE WHEN l_partkey % 79 = 0 THEN unitprice * 10000 WHEN l_partkey % 83 = 0 THEN unitprice + 0.005
+         ELSE unitprice END AS DECIMAL(18,6)) AS unitprice,
+    CASE WHEN l_orderkey % 59 = 0 THEN NULL WHEN l_orderkey % 73 = 0 THEN '12.5' ELSE country END AS country) FROM dirty),
+written AS (SELECT * REPLACE (
+    CASE WHEN l_partkey % 107 = 0 THEN 0.4 WHEN l_partkey % 103 = 0 THEN quantity + 0.4 ELSE quantity END::DECIMAL(16,6) AS quantity,
+    CASE WHEN l_orderkey % 211 = 0 THEN NULL ELSE invoicedate::TIMESTAMP + to_hours(((l_orderkey
+         + CASE WHEN l_orderkey % 100 = 0 THEN copy ELSE 0 END) % 24)::INTEGER) END AS invoicedate,
+    CASE WHEN (l_orderkey + l_partkey) % 109 = 0 THEN 0.0000004::DECIMAL(21,10) ELSE unitprice::DECIMAL(21,10) END AS unitprice),
+    CASE WHEN l_orderkey % 211 = 0 THEN 1 ELSE 0 END AS bad FROM dirty)"""
 
 
 def _title(c: str) -> str:
@@ -159,7 +186,7 @@ _LE0 = "coalesce({c} <= 0, false)"
 _LETTER = "coalesce(regexp_matches(stockcode, '^[A-Za-z]'), false)"
 
 
-def _clean(src: str, mode: str = "intended") -> str:
+def _clean(src: str, mode: str = "intended", cost: str = "CAST(unitprice * quantity AS DECIMAL(27,6))") -> str:
     """Cleaned rows of ``src`` (C01-C10), lineage columns kept."""
     country = _title("country")
     description = "description"
@@ -170,7 +197,7 @@ def _clean(src: str, mode: str = "intended") -> str:
         )
         description = f"coalesce(description, '{PLACEHOLDER}')"
     return f"""(SELECT * REPLACE ({country} AS country, {description} AS description),
-        CAST(unitprice * quantity AS DECIMAL(27,6)) AS totalcost
+        {cost} AS totalcost
  FROM (SELECT *, row_number() OVER (PARTITION BY invoiceno, stockcode ORDER BY {ORDER_BY}) AS rn_key FROM {src})
  WHERE rn_key = 1 AND NOT {_LE0.format(c='quantity')} AND NOT {_LE0.format(c='unitprice')} AND NOT {_LETTER})"""
 
@@ -185,8 +212,15 @@ def with_dirty(body: str, star: bool = False) -> str:
 
 def _merged(table: str) -> str:
     """Rows of one star table after merging clean(batch A) then clean(batch B)."""
-    union = f"""merged AS (SELECT 0 AS batch, * FROM {_clean('batch_a')}
+    return with_dirty(f", {_both_batches()}\n{_merged_body(table)}")
+
+
+def _both_batches() -> str:
+    return f"""merged AS (SELECT 0 AS batch, * FROM {_clean('batch_a')}
                 UNION ALL SELECT 1 AS batch, * FROM {_clean('batch_b')})"""
+
+
+def _merged_body(table: str) -> str:
     first = "row_number() OVER (PARTITION BY {k} ORDER BY batch, " + ORDER_BY + ") AS rn_first"
     if table == "country":
         body = "SELECT DISTINCT country, 'Earth' AS zone FROM merged"
@@ -199,35 +233,45 @@ def _merged(table: str) -> str:
         )
     else:
         body = (
-            "SELECT invoiceno, stockcode, CAST(unitprice AS DECIMAL(8,2)) AS unitprice, quantity, "
-            "CAST(totalcost AS DECIMAL(8,2)) AS totalcost FROM "
+            "SELECT invoiceno, stockcode, CAST(unitprice AS DECIMAL(18,2)) AS unitprice, "
+            "CAST(quantity AS DECIMAL(18,0)) AS quantity, CAST(totalcost AS DECIMAL(28,2)) AS totalcost FROM "
             f"(SELECT *, {first.format(k='invoiceno, stockcode')} FROM merged) WHERE rn_first = 1"
         )
-    return with_dirty(f", {union}\n{body}")
+    return body
 
 
-def etl_sql() -> dict[str, str]:
-    q: dict[str, str] = {}
-    q["quality_report"] = with_dirty(
-        f"""SELECT n_rows, n_dup, n_dup_key, n_qty_le0, n_price_le0, n_letter_code, to_delete,
+def _loaded(body: str) -> str:
+    """A query over the star that both batches make."""
+    names = {"country": "country", "product": "product", "invoice": "invoice", "detailinvoice": "detail"}
+    tables = ", ".join(f"w_{w} AS ({_merged_body(t)})" for t, w in names.items())
+    return with_dirty(f", {_both_batches()}, {tables}, w_sales AS (SELECT * FROM w_detail JOIN w_invoice USING (invoiceno))\n{body}")
+
+
+def _report(src: str, distinct: str) -> str:
+    return f"""SELECT n_rows, n_dup, n_dup_key, n_qty_le0, n_price_le0, n_letter_code, to_delete,
        n_rows AS n_country_cells, n_null_cells, n_rows + n_null_cells AS to_repair,
        n_rows - to_delete AS remaining,
        CASE WHEN n_rows > 0 THEN round(to_delete / n_rows * 100, 2) END AS pct_deleted,
        CASE WHEN n_rows > 0 AND round(to_delete / n_rows * 100, 2) <= 5 THEN 'clean' ELSE 'not_advised' END AS advice
 FROM (SELECT *, n_dup + n_qty_le0 + n_price_le0 + n_letter_code AS to_delete FROM (
   SELECT count(*) AS n_rows,
-         count(*) - (SELECT count(*) FROM (SELECT DISTINCT {RAW} FROM dirty)) AS n_dup,
-         count(*) - (SELECT count(*) FROM (SELECT DISTINCT invoiceno, stockcode FROM dirty)) AS n_dup_key,
+         count(*) - (SELECT count(*) FROM (SELECT DISTINCT {distinct} FROM {src})) AS n_dup,
+         count(*) - (SELECT count(*) FROM (SELECT DISTINCT invoiceno, stockcode FROM {src})) AS n_dup_key,
          count(*) FILTER (WHERE quantity <= 0) AS n_qty_le0,
          count(*) FILTER (WHERE unitprice <= 0) AS n_price_le0,
          count(*) FILTER (WHERE regexp_matches(stockcode, '^[A-Za-z]')) AS n_letter_code,
          CAST(count(*) FILTER (WHERE invoiceno IS NULL) + count(*) FILTER (WHERE stockcode IS NULL)
             + count(*) FILTER (WHERE description IS NULL) + count(*) FILTER (WHERE quantity IS NULL)
-            + count(*) FILTER (WHERE invoicedate IS NULL) + count(*) FILTER (WHERE unitprice IS NULL)
+            + count(*) FILTER (WHERE invoicedate IS NULL AND {"bad = 0" if "bad" in distinct else "true"})
+            + count(*) FILTER (WHERE unitprice IS NULL)
             + count(*) FILTER (WHERE customerid IS NULL) + count(*) FILTER (WHERE country IS NULL) AS BIGINT)
            AS n_null_cells
-  FROM dirty))"""
-    )
+  FROM {src}))"""
+
+
+def etl_sql() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["quality_report"] = with_dirty(_report("dirty", RAW))
     labels = "('duplicate_row'), ('duplicate_key'), ('quantity_le0'), ('price_le0'), ('letter_code'), ('kept')"
     q["quality_by_rule"] = with_dirty(
         f""", cls AS (
@@ -261,11 +305,11 @@ GROUP BY l.rejected_by"""
         f"SELECT country AS country_raw, count(*) AS n_rows, {_title('country')} AS country FROM dirty GROUP BY country"
     )
     q["clean_fill_missing"] = with_dirty(
-        f"""SELECT invoiceno, stockcode, description, country FROM {_clean('dirty')}
+        f"""SELECT invoiceno, stockcode, description, country FROM {_clean('strained')}
 WHERE description = '{PLACEHOLDER}' OR country = 'Unspecified'"""
     )
 
-    def report(check: str, flags: dict[str, str], src: str = "dirty") -> str:
+    def report(check: str, flags: dict[str, str], src: str = "strained") -> str:
         parts = [
             f"SELECT '{check}' AS \"check\", '{c}' AS \"column\", count(*) AS n_rows, "
             f"CAST(count(*) FILTER (WHERE {f}) AS BIGINT) AS n_violations FROM {src}"
@@ -287,7 +331,7 @@ WHERE description = '{PLACEHOLDER}' OR country = 'Unspecified'"""
         "customerid": "customerid IS NOT NULL AND abs(customerid) >= 9999999.95",
     }
     q["constraint_decimal_range"] = with_dirty(
-        ", dirty_cost AS (SELECT *, unitprice * quantity AS totalcost FROM dirty)\n"
+        ", dirty_cost AS (SELECT *, unitprice * quantity AS totalcost FROM strained)\n"
         + report("decimal_range", rng, "dirty_cost")
     )
     uniq = [
@@ -308,13 +352,16 @@ FROM (SELECT {cols}, count(*) AS c FROM {src} GROUP BY {cols})"""
     )
     q["constraint_orphans"] = with_star(
         """SELECT 'detailinvoice->invoice' AS relation, count(*) AS n_orphans FROM w_detail d
-  WHERE d.invoiceno IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_invoice i WHERE i.invoiceno = d.invoiceno)
+  WHERE d.invoiceno IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM w_invoice i WHERE i.invoiceno = d.invoiceno AND NOT ends_with(i.invoiceno, '7'))
 UNION ALL
 SELECT 'detailinvoice->product', count(*) FROM w_detail d
-  WHERE d.stockcode IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_product p WHERE p.stockcode = d.stockcode)
+  WHERE d.stockcode IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM w_product p WHERE p.stockcode = d.stockcode AND NOT ends_with(p.stockcode, '3'))
 UNION ALL
 SELECT 'invoice->country', count(*) FROM w_invoice i
-  WHERE i.country IS NOT NULL AND NOT EXISTS (SELECT 1 FROM w_country c WHERE c.country = i.country)"""
+  WHERE i.country IS NOT NULL AND NOT EXISTS (
+    SELECT 1 FROM w_country c WHERE c.country = i.country AND NOT ends_with(c.country, '4'))"""
     )
     q["constraint_dates"] = with_dirty(
         """, txt AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN strftime(invoicedate, '%Y-%m-%d')
@@ -334,7 +381,7 @@ SELECT 'date_parse', 'invoicedate', count(*),
         q[key] = _merged(name)
     q["stream_ingest"] = q["load_detail"]
     q["landing_incremental"] = q["load_detail"]
-    clean_a = _clean("batch_a")
+    clean_a = _clean("dirty")
     q["load_twice_is_noop"] = with_dirty(
         f""", ca AS (SELECT * FROM {clean_a})
 SELECT 'country' AS "table", count(DISTINCT country) AS n_rows FROM ca
@@ -343,10 +390,44 @@ UNION ALL SELECT 'invoice', count(DISTINCT invoiceno) FROM ca
 UNION ALL SELECT 'detailinvoice', count(*) FROM ca"""
     )
     q["warehouse_reset"] = with_dirty(
-        """, la AS (SELECT count(*) AS n FROM batch_a)
-SELECT t AS "table", CAST(0 * n AS BIGINT) AS n_rows
-FROM la, (VALUES ('country'), ('product'), ('invoice'), ('detailinvoice')) AS v(t)"""
+        f"""SELECT invoiceno, stockcode, CAST(unitprice AS DECIMAL(18,2)) AS unitprice, CAST(quantity AS DECIMAL(18,0)) AS quantity,
+       CAST(totalcost AS DECIMAL(28,2)) AS totalcost FROM {_clean('batch_b')}"""
+    )
+    q["landing_mixed_headers"] = q["load_detail"]
+    q["stream_mixed_headers"] = q["load_detail"]
+    q["load_long_numbers"] = with_dirty(
+        f"""SELECT invoiceno || '00000000' AS invoiceno, invoicedate, customerid, country FROM (
+  SELECT *, row_number() OVER (PARTITION BY invoiceno ORDER BY {ORDER_BY}) AS rn_first FROM {_clean('dirty')}) WHERE rn_first = 1"""
+    )
+    breaks = [(f"{c} IS NULL", f"not_null:{c}") for c in ("invoiceno", "stockcode", "country", "quantity")]
+    breaks += [(f"length({c}) > {n}", f"max_length:{c}") for c, n in
+               (("invoiceno", 7), ("stockcode", 50), ("description", 80), ("country", 50))]
+    breaks += [(f, f"decimal_range:{c}") for c, f in rng.items()]
+    label = "CASE " + " ".join(f"WHEN {f} THEN '{name}'" for f, name in breaks) + " END"
+    q["load_rejected"] = with_dirty(
+        f"""SELECT {RAW}, rejected_by FROM (
+  SELECT *, CASE WHEN rn_full > 1 THEN 'duplicate_row'
+                 WHEN rn_key > 1 THEN 'duplicate_key'
+                 WHEN {_LE0.format(c='quantity')} THEN 'quantity_le0'
+                 WHEN {_LE0.format(c='unitprice')} THEN 'price_le0'
+                 WHEN {_LETTER} THEN 'letter_code' END AS rejected_by
+  FROM (SELECT *, row_number() OVER (PARTITION BY {RAW} ORDER BY {ORDER_BY}) AS rn_full,
+                  row_number() OVER (PARTITION BY invoiceno, stockcode ORDER BY {ORDER_BY}) AS rn_key
+        FROM strained)) WHERE rejected_by IS NOT NULL
+UNION ALL
+SELECT {RAW}, rejected_by FROM (SELECT *, {label} AS rejected_by FROM {_clean('strained')}) WHERE rejected_by IS NOT NULL"""
+    )
+    q["quality_report_csv"] = with_dirty(_report("written", RAW + ", bad"))
+    q["quality_report_clean"] = with_dirty(f", cleaned AS (SELECT * FROM {_clean('dirty')})\n" + _report("cleaned", RAW))
+    q["clean_rows_csv"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('written', cost='CAST(unitprice * quantity AS DECIMAL(28,8))')}")
+    q["warehouse_country_top"] = _loaded(
+        f"SELECT country, count(*) AS n_sales FROM w_sales GROUP BY country ORDER BY n_sales DESC, country ASC NULLS LAST LIMIT {P.TOP_N}"
+    )
+    q["warehouse_monthly"] = _loaded(
+        "SELECT CAST(month(invoicedate) AS INTEGER) AS month, count(*) AS n_sales, "
+        "CAST(round(sum(totalcost)) AS BIGINT) AS revenue FROM w_sales GROUP BY 1 ORDER BY 1 NULLS LAST"
     )
+    q["warehouse_price_list"] = _loaded(_price_sql("DECIMAL(8,2)") + " ORDER BY stockcode")
     q["stage_replace"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('batch_b')}")
     q["csv_round_trip"] = with_dirty(f"SELECT {RAW}, 0 AS n_unparsed FROM dirty")
     q["csv_header_any_case"] = q["clean_rows"]

@@ -9,3 +9,4 @@ JOINT_TOP_K = 3
 SEARCH_TERM = "ring"
 SEARCH_OFFSET = 10
 SEARCH_PAGE = 25
+SEARCH_PRICE = "9.9"

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillstar.functions import cents_to_price, half_up_div
 from tillstar.operators.dedupe import first_per_key
-from tillstar.schema import CUSTOMER, DEFAULT_ZONE, PRICE, PRICE_IN, QTY
+from tillstar.schema import DEFAULT_ZONE, PRICE, PRICE_IN, PRICE_READ, QTY, QTY_READ, RAW_COLUMNS, WIDE
 
 # Lineage column carrying the total file order of an export row.
 ORDER = "_order"
@@ -49,7 +49,7 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         .select(
             F.col("o_orderkey").cast("string").alias("invoiceno"),
             F.col("o_orderdate").cast("date").alias("invoicedate"),
-            F.col("o_custkey").cast(CUSTOMER).alias("customerid"),
+            F.col("o_custkey").cast(WIDE.customer).alias("customerid"),
             F.col("n_name").alias("country"),
         )
     )
@@ -110,7 +110,7 @@ def dirty_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(zero_price, F.lit(0).cast(PRICE_IN))
         .otherwise(cents_to_price(_unit_cents(), PRICE_IN))
         .alias("unitprice"),
-        F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_custkey")).cast(CUSTOMER).alias("customerid"),
+        F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_custkey")).cast(WIDE.customer).alias("customerid"),
         F.upper("n_name").alias("country"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
     )
@@ -126,6 +126,42 @@ def dirty_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def strained_export(dirty: DataFrame) -> DataFrame:
+    """The dirty export with cells that break constraints: missing keys and quantities, countries
+    missing or numeric, over-long numbers and texts, costs out of range, three-decimal prices."""
+    order = {c: F.col(ORDER)[c] for c in ("l_orderkey", "l_partkey", "l_linenumber")}
+    o, p, line = order.values()
+    null = F.lit(None)
+    cells = {
+        "invoiceno": F.when(o % 61 == 0, null).when(o % 67 == 0, F.concat("invoiceno", F.lit("00000000"))).otherwise(F.col("invoiceno")),
+        "stockcode": F.when(p % 53 == 0, null).otherwise(F.col("stockcode")),
+        "description": F.when(p % 71 == 0, F.repeat("description", 12)).otherwise(F.col("description")),
+        "quantity": F.when((line == 5) & (o % 3 == 0), null).otherwise(F.col("quantity")),
+        "unitprice": F.when(p % 79 == 0, F.col("unitprice") * 10_000)
+        .when(p % 83 == 0, F.col("unitprice") + F.lit("0.005").cast("decimal(4,3)"))
+        .otherwise(F.col("unitprice"))
+        .cast(PRICE_IN),
+        "country": F.when(o % 59 == 0, null).when(o % 73 == 0, F.lit("12.5")).otherwise(F.col("country")),
+    }
+    return dirty.select(*[cells.get(c, F.col(c)).alias(c) for c in dirty.columns])
+
+
+def text_export(dirty: DataFrame) -> DataFrame:
+    """The dirty export as the text of a CSV file: times of day, fractional quantities, tiny prices
+    and dates that do not parse."""
+    o, p = F.col(ORDER)["l_orderkey"], F.col(ORDER)["l_partkey"]
+    late = F.col(ORDER)["copy"] * F.when(o % 100 == 0, 1).otherwise(0)  # some second copies differ in time
+    hours = ((o + late) % 24).cast("int")
+    at = F.col("invoicedate").cast("timestamp") + F.make_dt_interval(F.lit(0), hours)
+    quantity = F.col("quantity").cast(QTY_READ)
+    cells = {
+        "invoicedate": F.when(o % 211 == 0, F.lit("soon")).otherwise(F.date_format(at, "M/d/yyyy H:mm")),
+        "quantity": F.when(p % 107 == 0, F.lit("0.4")).when(p % 103 == 0, (quantity + F.lit("0.4").cast("decimal(2,1)")).cast("string")).otherwise(quantity.cast("string")),
+        "unitprice": F.when((o + p) % 109 == 0, F.lit("0.0000004")).otherwise(F.col("unitprice").cast(PRICE_READ).cast("string")),
+    }
+    return dirty.select(*[cells.get(c, F.col(c).cast("string")).alias(c) for c in RAW_COLUMNS], ORDER)
+
+
 def batch_a(dirty: DataFrame) -> DataFrame:
     """Monthly batch A of the merge tests (invoices with key % 3 <> 0)."""
     return dirty.filter(F.col(ORDER)["l_orderkey"] % 3 != 0)

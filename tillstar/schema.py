@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -71,7 +74,11 @@ QTY = T.DecimalType(8, 0)
 PRICE = T.DecimalType(8, 2)
 PRICE_IN = T.DecimalType(18, 6)  # unit price as read, narrowed only at load
 CUSTOMER = T.DecimalType(8, 1)
-COST_EXACT = T.DecimalType(27, 6)  # exact PRICE_IN * QTY product
+# A CSV cell as read: nothing is rounded before the rules have seen it, and the product of the
+# two numbers is exact (21 + 16 + 1 digits).
+QTY_READ = T.DecimalType(16, 6)
+PRICE_READ = T.DecimalType(21, 10)
+CUSTOMER_READ = T.DecimalType(19, 1)
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
@@ -89,35 +96,64 @@ TYPED_SCHEMA = T.StructType(
     ]
 )
 
-COUNTRY_SCHEMA = T.StructType(
-    [T.StructField("country", T.StringType(), False), T.StructField("zone", T.StringType(), True)]
-)
-PRODUCT_SCHEMA = T.StructType(
-    [T.StructField("stockcode", T.StringType(), False), T.StructField("description", T.StringType(), True)]
-)
-INVOICE_SCHEMA = T.StructType(
-    [
-        T.StructField("invoiceno", T.StringType(), False),
-        T.StructField("invoicedate", T.DateType(), True),
-        T.StructField("customerid", CUSTOMER, True),
-        T.StructField("country", T.StringType(), False),
-    ]
-)
-DETAIL_SCHEMA = T.StructType(
-    [
-        T.StructField("invoiceno", T.StringType(), True),
-        T.StructField("stockcode", T.StringType(), True),
-        T.StructField("unitprice", PRICE, True),
-        T.StructField("quantity", QTY, False),
-        T.StructField("totalcost", PRICE, True),
-    ]
+
+@dataclass(frozen=True)
+class Limits:
+    """Text lengths and decimal widths of the warehouse; what does not fit is refused at load."""
+
+    max_len: Mapping[str, int] = field(default_factory=lambda: MAX_LEN)
+    price: T.DecimalType = PRICE
+    quantity: T.DecimalType = QTY
+    customer: T.DecimalType = CUSTOMER
+    cost: T.DecimalType = PRICE
+
+    @property
+    def narrow(self) -> dict[str, T.DecimalType]:
+        return {"unitprice": self.price, "quantity": self.quantity, "totalcost": self.cost, "customerid": self.customer}
+
+
+# Room for any 64-bit order and customer number.
+WIDE = Limits(
+    {"invoiceno": 20, "stockcode": 50, "description": 80, "country": 50},
+    price=T.DecimalType(18, 2),
+    quantity=T.DecimalType(18, 0),
+    customer=CUSTOMER_READ,
+    cost=T.DecimalType(28, 2),
 )
 
-STAR = {
-    "country": (COUNTRY_SCHEMA, ("country",)),
-    "product": (PRODUCT_SCHEMA, ("stockcode",)),
-    "invoice": (INVOICE_SCHEMA, ("invoiceno",)),
-    "detailinvoice": (DETAIL_SCHEMA, ("invoiceno", "stockcode")),
-}
+
+def star_tables(limits: Limits) -> dict[str, tuple[T.StructType, tuple[str, ...]]]:
+    """Schema and key of each warehouse table."""
+    text = T.StringType()
+    return {
+        "country": (T.StructType([T.StructField("country", text, False), T.StructField("zone", text, True)]), ("country",)),
+        "product": (T.StructType([T.StructField("stockcode", text, False), T.StructField("description", text, True)]), ("stockcode",)),
+        "invoice": (
+            T.StructType(
+                [
+                    T.StructField("invoiceno", text, False),
+                    T.StructField("invoicedate", T.DateType(), True),
+                    T.StructField("customerid", limits.customer, True),
+                    T.StructField("country", text, False),
+                ]
+            ),
+            ("invoiceno",),
+        ),
+        "detailinvoice": (
+            T.StructType(
+                [
+                    T.StructField("invoiceno", text, True),
+                    T.StructField("stockcode", text, True),
+                    T.StructField("unitprice", limits.price, True),
+                    T.StructField("quantity", limits.quantity, False),
+                    T.StructField("totalcost", limits.cost, True),
+                ]
+            ),
+            ("invoiceno", "stockcode"),
+        ),
+    }
+
+
+STAR = star_tables(Limits())
 # Load order (parents before the fact); reset runs it backwards.
 LOAD_ORDER = ("country", "product", "invoice", "detailinvoice")

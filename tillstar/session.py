@@ -22,33 +22,6 @@ DEFAULT_CONF = {
 }
 
 
-# Runtime SQL settings for a large cluster (hundreds of TB): start with many shuffle
-# partitions and let AQE coalesce them to ~256 MB, split skewed partitions, and let
-# the optimizer inject runtime bloom filters on selective joins.
-CLUSTER_CONF = {
-    **DEFAULT_CONF,
-    "spark.sql.shuffle.partitions": "20000",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
-    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
-    "spark.sql.files.maxPartitionBytes": "256m",
-    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
-}
-
-
-def apply_defaults(spark: SparkSession, conf: dict[str, str] = CLUSTER_CONF) -> SparkSession:
-    """Set each runtime SQL setting only where the session does not already carry one."""
-    explicit = _explicit(spark)
-    for k, v in conf.items():
-        if k not in explicit:
-            spark.conf.set(k, v)
-    return spark
-
-
-def _explicit(spark: SparkSession) -> set[str]:
-    """Keys set explicitly on the context (spark-submit / builder)."""
-    return {k for k, _ in spark.sparkContext.getConf().getAll()}
-
-
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "tillstar") -> SparkSession:
     """Session for tests and the local bench (UI off, small shuffle fan-out)."""
     builder = (

@@ -4,8 +4,10 @@ A raw export is read with every column as text, header names lower-cased,
 the textual missing markers turned into null, then typed:
 
     invoiceno, stockcode, description, country : string
-    quantity decimal(8,0), unitprice decimal(18,6), customerid decimal(8,1)
-    invoicedate date (first matching format)
+    quantity decimal(16,6), unitprice decimal(21,10), customerid decimal(19,1)
+    invoicedate timestamp (first matching format)
+
+so that the rules judge what the file says; a load narrows to the warehouse's types.
 
 Two lineage columns are added, neither takes part in duplicate checks:
 
@@ -13,20 +15,23 @@ Two lineage columns are added, neither takes part in duplicate checks:
   time, file path, block start, row id), so "first in file wins" holds across
   files and splits.  ``order_by="path"`` drops the modification time when the
   files of one export were written in parallel.
-* ``_unparsed``: names of the cells whose text did not parse (K06).
+* ``_unparsed``: name and text of the cells that did not parse, or that their type would
+  round to zero (K06).
 
 CSV is splittable unless ``multiline=True``; nothing here touches the driver.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillstar.functions import missing_as_null, parse_date
-from tillstar.schema import CUSTOMER, DEFAULT_DATE_FORMATS, PRICE_IN, QTY, RAW_COLUMNS
+from tillstar.functions import missing_as_null, parse_timestamp
+from tillstar.schema import CUSTOMER_READ, DEFAULT_DATE_FORMATS, PRICE_READ, QTY_READ, RAW_COLUMNS
 
 ORDER = "_order"
 UNPARSED = "_unparsed"
@@ -75,14 +80,20 @@ def null_tokens(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFram
 
 def typed(df: DataFrame, date_formats: Sequence[str] = DEFAULT_DATE_FORMATS) -> DataFrame:
     """Text columns to contract types; unparseable cells become null and are listed in ``_unparsed``."""
+
+    def number(c: str, kind: T.DecimalType) -> Column:
+        value = F.col(c).try_cast(kind)
+        return F.when((value == 0) & (F.col(c).try_cast("double") != 0), F.lit(None)).otherwise(value)
+
     casts = {
-        "quantity": F.col("quantity").try_cast(QTY),
-        "unitprice": F.col("unitprice").try_cast(PRICE_IN),
-        "customerid": F.col("customerid").try_cast(CUSTOMER),
-        "invoicedate": parse_date("invoicedate", tuple(date_formats)),
+        "quantity": number("quantity", QTY_READ),
+        "unitprice": number("unitprice", PRICE_READ),
+        "customerid": number("customerid", CUSTOMER_READ),
+        "invoicedate": parse_timestamp("invoicedate", tuple(date_formats)),
     }
     failed = [
-        F.when(F.col(c).isNotNull() & expr.isNull(), F.lit(c)) for c, expr in casts.items()
+        F.when(F.col(c).isNotNull() & expr.isNull(), F.struct(F.lit(c).alias("column"), F.col(c).alias("text")))
+        for c, expr in casts.items()
     ]
     out = df.withColumn(UNPARSED, F.array_compact(F.array(*failed)))
     for c, expr in casts.items():
@@ -107,18 +118,48 @@ def with_file_order(df: DataFrame, order_by: str = "mtime") -> DataFrame:
     return df.withColumn(ORDER, F.struct(*fields))
 
 
-def parse_export(
-    text: DataFrame,
+def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, ...]:
+    """Column names of one file, from its first line."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
+    finally:
+        stream.close()
+    return tuple(next(csv.reader([line or ""])))
+
+
+def read_files(
+    spark: SparkSession,
+    files: Sequence[str],
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
+    encoding: str = ENCODING,
+    multiline: bool = False,
     order_by: str = "mtime",
-    check_header: bool = True,
 ) -> DataFrame:
-    """S02-S04 and typing on a frame of text columns read from CSV (batch)."""
-    df = lower_columns(text)
-    if check_header:
-        assert_header(df)
-    df = with_file_order(df, order_by)
-    return typed(null_tokens(df), date_formats)
+    """Typed rows of some export files, columns matched by name whatever each file's order.
+
+    Files are grouped by their header lines, and a group is read as one scan. A file without all
+    contract columns fails here, before any data is read. Files without a line have no rows.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        groups.setdefault(_header(spark, f, encoding), []).append(f)
+    groups.pop((), None)
+    out = None
+    for names, paths in groups.items():
+        kinds = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        text = _reader(spark, encoding, multiline, None, False).schema(kinds).csv(paths)
+        assert_header(text)
+        rows = lower_columns(with_file_order(text, order_by)).select(*RAW_COLUMNS, ORDER)
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        order = "path string, block bigint, row bigint"
+        kind = f"struct<{'mtime timestamp, ' * (order_by == 'mtime')}{order}>".replace(" ", ":").replace(",:", ",")
+        text = ", ".join(f"{c} string" for c in RAW_COLUMNS)
+        out = spark.createDataFrame([], f"{text}, {ORDER} {kind}")
+    return typed(null_tokens(out), date_formats)
 
 
 def read_export(
@@ -133,8 +174,8 @@ def read_export(
 ) -> DataFrame:
     """One export file, several files, or a folder of exports."""
     paths = [path] if isinstance(path, str) else list(path)
-    text = _reader(spark, encoding, multiline, glob, recursive).csv(paths)
-    return parse_export(text, date_formats, order_by)
+    files = _reader(spark, encoding, multiline, glob, recursive).csv(paths).inputFiles()
+    return read_files(spark, files, date_formats, encoding, multiline, order_by)
 
 
 def read_landing(
@@ -144,17 +185,15 @@ def read_landing(
     encoding: str = ENCODING,
     order_by: str = "mtime",
     exclude: Sequence[str] = (),
+    multiline: bool = False,
 ) -> DataFrame:
     """Every ``*.csv`` below ``folder`` (recursively), minus already loaded files.
 
-    ``exclude`` is the ledger of consumed file paths (S06); the filter is on the
-    ``_metadata.file_path`` column, so consumed files are pruned, not deleted.
+    ``exclude`` is the ledger of consumed file paths (S06): those files are not opened.
     """
-    text = _reader(spark, encoding, False, "*.csv", True).csv(folder)
-    if exclude:
-        done = sorted({normalise_path(f) for f in exclude})
-        text = text.filter(~F.col("_metadata.file_path").isin(done))
-    return parse_export(text, date_formats, order_by)
+    done = {normalise_path(f) for f in exclude}
+    new = [f for f in export_files(spark, folder) if f not in done]
+    return read_files(spark, new, date_formats, encoding, multiline, order_by)
 
 
 def normalise_path(p: str) -> str:
@@ -192,7 +231,7 @@ def write_export(
         *[
             (
                 F.date_format(F.col(c).cast("timestamp"), date_format)
-                if c == "invoicedate"
+                if c == "invoicedate" and not isinstance(out.schema[c].dataType, T.StringType)
                 else F.col(c).cast("string")
             ).alias(h)
             for c, h in zip(RAW_COLUMNS, header)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstar.schema import LOAD_ORDER, STAR
+from tillstar.schema import LOAD_ORDER, Limits, star_tables
 
 MANIFEST_SCHEMA = T.StructType(
     [
@@ -47,9 +47,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 class Warehouse:
     """The star schema stored as batch-partitioned Parquet below ``root``."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, limits: Limits = Limits()):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.limits = limits
+        self.tables = star_tables(limits)
 
     # -- paths -------------------------------------------------------------
     def path(self, name: str, batch_id: str | None = None) -> str:
@@ -81,7 +83,7 @@ class Warehouse:
     # -- tables ------------------------------------------------------------
     def table(self, name: str, ids: Sequence[str] | None = None) -> DataFrame:
         """Committed rows of a star table (empty typed frame when none)."""
-        schema, _ = STAR[name]
+        schema, _ = self.tables[name]
         ids = self.committed() if ids is None else list(ids)
         p = self.path(name)
         if not ids or not _exists(self.spark, p):
@@ -94,43 +96,49 @@ class Warehouse:
         return {name: self.table(name, ids) for name in LOAD_ORDER}
 
     def write_batch(self, name: str, df: DataFrame, batch_id: str) -> None:
-        schema, _ = STAR[name]
-        df.select(*schema.fieldNames()).write.mode("overwrite").parquet(self.path(name, batch_id))
+        schema, keys = self.tables[name]
+        # sorted files have narrow key ranges, which later batches prune by
+        df.select(*schema.fieldNames()).sortWithinPartitions(*keys).write.mode("overwrite").parquet(self.path(name, batch_id))
 
     # -- staging (S07, S08) -------------------------------------------------
-    def stage(self, df: DataFrame, batch_id: str) -> DataFrame:
+    def stage(self, df: DataFrame, batch_id: str, step: str = "_staging") -> DataFrame:
         """Replace the batch's staging folder with ``df`` and return it read back."""
-        p = self.path("_staging", batch_id)
+        p = self.path(step, batch_id)
         df.write.mode("overwrite").parquet(p)
         return self.spark.read.parquet(p)
 
-    def clear_stage(self, batch_id: str, schema: T.StructType) -> None:
+    def clear_stage(self, batch_id: str, schema: T.StructType, step: str = "_staging") -> None:
         """Empty the batch's staging folder after commit."""
-        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path("_staging", batch_id))
+        self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(self.path(step, batch_id))
 
     def write_rejected(self, df: DataFrame, batch_id: str) -> None:
         df.write.mode("overwrite").parquet(self.path("_rejected", batch_id))
 
     def rejected(self) -> DataFrame | None:
-        p = self.path("_rejected")
-        if not _exists(self.spark, p):
+        """Rejects of committed batches; None before the first."""
+        ids = self.committed()
+        if not ids:
             return None
-        return self.spark.read.option("basePath", p).parquet(p)
+        p = self.path("_rejected")
+        return self.spark.read.option("basePath", p).parquet(*[self.path("_rejected", i) for i in ids])
 
     # -- reset (S11) ---------------------------------------------------------
     def reset(self, confirm: bool = False) -> None:
-        """Empty every table, fact first, then the manifest.  Needs ``confirm=True``."""
+        """Forget every batch, then empty all tables, rejects and staging.  Needs ``confirm=True``.
+
+        The manifest goes first, so readers see the full star or an empty one, never a part.
+        """
         if not confirm:
             raise PermissionError("reset() deletes every warehouse row; call it with confirm=True")
-        for name in reversed(LOAD_ORDER):
-            schema, _ = STAR[name]
-            self.spark.createDataFrame([], _with_batch(schema)).write.mode(
-                "overwrite"
-            ).partitionBy("batch_id").parquet(self.path(name))
         self.spark.createDataFrame([], MANIFEST_SCHEMA).write.mode("overwrite").json(self.path("_manifest"))
+        for name in (*reversed(LOAD_ORDER), "_rejected", "_staging", "_raw"):
+            p = self.path(name)
+            if _exists(self.spark, p):
+                schema = self.tables[name][0] if name in self.tables else T.StructType([T.StructField("x", T.StringType())])
+                self.spark.createDataFrame([], _with_batch(schema)).write.mode("overwrite").partitionBy("batch_id").parquet(p)
 
 
-def to_records(df: DataFrame, limit: int = 1000) -> list[dict]:
+def to_records(df: DataFrame, limit: int) -> list[dict]:
     """A bounded result as a list of dicts (refuses more than ``limit`` rows)."""
     rows = df.limit(limit + 1).collect()
     if len(rows) > limit:
