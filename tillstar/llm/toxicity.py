@@ -29,9 +29,9 @@ N_FEATURES = 256
 FOLDS = 5
 GRAM = 5
 BITS = 18
-RIDGE = 1.0
+RIDGE = 0.3
 #: chi-square below which a feature may be chance, with so many buckets
-MIN_CHI = 20.0
+MIN_CHI = 40.0
 #: category -> SQL condition over the labels table, in chain order
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
