@@ -394,6 +394,12 @@ def test_toxicity_learns_words_and_stems(spark):
     assert toxicity.score(docs.limit(0), chain).count() == 0
 
 
+def test_thresholds_leave_doubtful_rows_alone():
+    y = np.array([1.0] + [0.0] * 9)
+    assert toxicity.best_threshold(np.full(10, 0.1), y) > 1
+    assert 0.1 < toxicity.best_threshold(np.array([0.9] + [0.1] * 9), y) < 0.9
+
+
 def test_bucket_boundaries_are_optimal():
     import itertools
 

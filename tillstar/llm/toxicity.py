@@ -120,14 +120,22 @@ def linear(x: np.ndarray, more: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """Cut with the best F1 on out-of-fold probabilities; the middle one of equally good cuts."""
+    """Cut with the best F1 on out-of-fold probabilities; the middle one of equally good cuts.
+
+    Cuts that flag all rows, or no more right rows than wrong ones, do not count; without another
+    nothing is flagged.
+    """
     order = np.argsort(-p, kind="stable")
     s, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(s) + 1) + y.sum())
+    f1[2 * hits <= np.arange(1, len(s) + 1)] = -1
     f1[:-1][s[:-1] == s[1:]] = -1
+    f1[-1] = -1
+    if f1.max() < 0:
+        return 2.0
     best = np.flatnonzero(f1 >= f1.max() - 1e-12)
     at = best[len(best) // 2]
-    return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2)
+    return float((s[at] + s[at + 1]) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: Sequence[tuple[str, str]] = CATEGORIES, sample: int = SAMPLE, n_features: int = N_FEATURES, folds: int = FOLDS) -> Chain:
