@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,6 +176,23 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         i = j
 
 
+def packed(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Columns ``keep`` and ``body``: the text as a Zstandard frame, which halves what a shuffle of texts writes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=5)
+        for batch in batches:
+            body = [press.compress(b"" if not x.is_valid else x.as_buffer()) for x in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(body, pa.binary())], [*keep, "body"])
+
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("body", T.BinaryType())])
+    return docs.select(*keep, text).mapInArrow(run, schema)
+
+
+def unpacked(body: pa.Scalar) -> bytes:
+    return zstandard.decompress(body.as_py())
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
