@@ -145,6 +145,19 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     assert sorted([tuple(r) for r in got], key=repr) == removal_truth(rows)
 
 
+@pytest.mark.parametrize("hot", [1000, 1])
+def test_suffix_dedup_removes_every_copy_inside_a_document(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "SHARD", 1)  # every document is a slice of its own, as in tasks of their own
+    rng = np.random.default_rng(12)
+    own = lambda n: "".join(rng.choice(list("ghijklmnop"), n))
+    line, passage, rule = own(70), own(200), "=" * 130
+    rows = [(1, own(90) + line + own(60) + rule + own(30)), (2, own(20) + passage[40:120] + own(80))]
+    rows += [(3, own(30).join([line] * 4) + own(70) + rule + own(9) + rule), (4, own(60).join([passage] * 3) + own(15) + line + own(25) + line)]
+    rows += [(5, own(40) + passage + line), (5, line + own(80) + passage + own(10) + passage)]
+    got = suffix_dedup.dedup(documents(spark, rows), hot=hot).collect()
+    assert sorted([tuple(r) for r in got], key=repr) == removal_truth(rows)
+
+
 def test_suffix_array_equals_sorting():
     rng = np.random.default_rng(1)
     for _ in range(150):
