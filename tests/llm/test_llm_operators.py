@@ -103,6 +103,21 @@ def test_ngram_join_equals_brute_force(spark, chunk):
     assert sorted([tuple(r) for r in got], key=repr) == jaccard_truth(rows)
 
 
+def test_ngram_join_of_groups_with_overlapping_passages(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "REPORTED", 1000)  # all shingles count as rare, as they do where a group is spread over many tasks
+    rng = np.random.default_rng(13)
+    own = lambda n: " ".join("".join(x) for x in rng.choice(list("abcdefghijklm"), (n, 8)))
+    rows, want = [], {}
+    for g in range(0, 500, 20):  # two near copies (120 of 196 shingles), each with a passage of another member of one large group
+        common, core, passages = own(80), own(124), [own(38), own(38)]
+        texts = [f"{core} {p}" for p in passages] + [f"{common} {own(44)} {p}" for p in passages]
+        texts += [f"{common} {own(82)}" for _ in range(8)]
+        rows += [(g + i, t) for i, t in enumerate(texts)]
+        want |= {g + i: (g if i < 2 else g + i, int(i < 2)) for i in range(len(texts))}
+    got = ngram_join.near_duplicates(documents(spark, rows), percent=60, chunk=2).collect()
+    assert {r.doc_id: (r.component_id, r.n_links) for r in got} == want
+
+
 def test_prefixes_of_similar_sets_share_enough():
     rng = np.random.default_rng(0)
     for _ in range(200):
