@@ -109,24 +109,32 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word (A-Z lower-cased), and the words' offsets per text (n + 1).
+    """64-bit hash of every word (A-Z lower-cased), and the words' offsets per text (n + 1)."""
+    h, at, _ = word_places(data, off)
+    return h, np.searchsorted(at, off)
+
+
+def word_places(
+    data: np.ndarray, off: np.ndarray, fold: np.ndarray = _LOWER, is_word: np.ndarray = _IS_WORD
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hash, first byte and end of every word; ``fold`` maps bytes, ``is_word`` tells which bytes words hold.
 
     Works through segments of about 1 MB that end between words, so a very long text
-    needs 8 bytes a word and no more.
+    needs 24 bytes a word and no more.
     """
-    hashes, starts_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes, starts_at, ends_at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     inner = off[1:-1]
     lo, n = 0, len(data)
     while lo < n:
         hi = min(n, lo + SEGMENT)
         while hi < n:
-            cut = np.flatnonzero(~_IS_WORD[data[lo:hi]])
+            cut = np.flatnonzero(~is_word[data[lo:hi]])
             if len(cut):
                 hi = lo + int(cut[-1]) + 1
                 break
             hi = min(n, hi + SEGMENT)
         b = data[lo:hi]
-        w = _IS_WORD[b]
+        w = is_word[b]
         breaks = inner[(inner > lo) & (inner < hi)] - lo
         first = w.copy()
         first[1:] &= ~w[:-1]
@@ -138,13 +146,13 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if len(s):
             p, q = _powers(len(b))
             c = np.zeros(len(b) + 1, np.uint64)
-            np.cumsum(_BYTE[_LOWER[b]] * p[: len(b)], out=c[1:])
+            np.cumsum(_BYTE[fold[b]] * p[: len(b)], out=c[1:])
             hashes.append(mix((c[e] - c[s]) * q[s]))
             starts_at.append(s + lo)
+            ends_at.append(e + lo)
         lo = hi
-    h, at = np.concatenate(hashes), np.concatenate(starts_at)
     # a segment may end inside a run of words only at a text's own end, so starts are exact
-    return h, np.searchsorted(at, off)
+    return np.concatenate(hashes), np.concatenate(starts_at), np.concatenate(ends_at)
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int = 5) -> list[np.ndarray]:
