@@ -8,10 +8,11 @@ A conversation is rendered whole, turn after turn::
 is doubled and the two control strings are broken by one (``#\## ``, ``<\/turn>``), so they never
 occur there as such, and taking one backslash away from each pair ``\x`` gives the text back.
 
-The rendered text is encoded once, with offsets. Header starts and turn ends are added tokens of
-the tokenizer, which split a text before anything else, so no token crosses the edge of a turn's
-text. The loss spans (texts of the given roles) and the tokens are both sorted by place: two
-binary searches a span give its tokens, and those are the loss mask.
+The rendered text is encoded once, with offsets: places in its UTF-8 bytes, the running sum of the
+tokens' lengths. Headers and turn ends are special tokens, which split a text before anything
+else, so no token crosses the edge of a turn's text. The loss spans (texts of the given roles) and
+the tokens are both sorted by place: two binary searches a span give its tokens, and those are the
+loss mask.
 
 Rows come to a task by conversation and by ``PIECE_TURNS`` turn numbers, sorted, and stream
 through it: a conversation of any length is cut between turns into pieces of bounded size, each
@@ -21,20 +22,20 @@ tokens that the uncut conversation would have.
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Tokenizer
 
 from tillstar.llm.common import table
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECE_TURNS = 512
 PIECE_CHARS = 1 << 20
 
@@ -42,6 +43,10 @@ PIECE_CHARS = 1 << 20
 HEAD, COLON, END = "### ", ": ", "</turn>"
 ROLE_NAMES = {"user": "User", "assistant": "Assistant", "system": "System"}
 NO_ROLE = "\\N"
+# Fixed value: how the tokenizer's vocabulary was cut into words.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = 1 << 16
+_LONG_SPACE = re.compile(rf"\s{{{SPACES + 1}}}")
 
 PIECE = "conv_id long, chunk long, part int, first_turn long, n_turns long, text string, token_ids array<int>, loss_tokens array<struct<first:int,end:int>>"
 
@@ -73,13 +78,14 @@ def role_of(name: str) -> str | None:
 
 
 def render(turns: list[tuple[str | None, str]]) -> tuple[str, list[tuple[str | None, int, int]]]:
-    """The formatted text of some turns, and (role, start, end) of each escaped text in it."""
+    """The formatted text of some turns, and (role, start, end) of each escaped text in its bytes."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         head, body = HEAD + role_name(role) + COLON, escape(text)
-        at += len(head)
-        spans.append((role, at, at + len(body)))
-        at += len(body) + len(END) + 1
+        at += len(head.encode())
+        end = at + len(body.encode())
+        spans.append((role, at, end))
+        at = end + len(END) + 1
         parts += [head, body, END, "\n"]
     return "".join(parts), spans
 
@@ -97,18 +103,35 @@ def parse(text: str) -> list[tuple[str | None, str]]:
     return out
 
 
-def tokenizer_of(model: str, roles: tuple[str, ...]) -> Tokenizer:
-    """A tokenizer from its JSON text, with a token of its own for each known header and turn end."""
-    t = Tokenizer.from_str(model)
-    t.encode_special_tokens = True  # the vocabulary's own special strings are ordinary text here
-    heads = sorted({HEAD + role_name(r) + COLON for r in (*ROLE_NAMES, *roles)})
-    t.add_tokens([AddedToken(x, single_word=False, lstrip=False, rstrip=False, normalized=False) for x in (*heads, END)])
-    return t
+class Coder:
+    """A byte-level tokenizer from a file of ranks, with a token of its own for each known header and for the turn end."""
+
+    def __init__(self, ranks: bytes, pattern: str, roles: tuple[str, ...]):
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        marks = [*sorted({HEAD + role_name(r) + COLON for r in (*ROLE_NAMES, *roles)}), END]
+        own = {m: max(known.values()) + 1 + i for i, m in enumerate(marks)}
+        self.core = tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=known, special_tokens=own)
+        self.length = np.zeros(max(own.values()) + 1, np.int64)
+        for word, i in known.items():
+            self.length[i] = len(word)
+        for word, i in own.items():
+            self.length[i] = len(word.encode())
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids, and [start, end) of each token in the text's bytes. White space beyond ``SPACES``
+        characters on end is encoded in stretches, which the pattern could not match whole."""
+        parts = re.split(rf"(\s{{{SPACES}}})", text) if _LONG_SPACE.search(text) else [text]
+        ids = np.concatenate([self.core.encode_to_numpy(x, allowed_special="all") for x in parts]).astype(np.int64)
+        ends = np.cumsum(self.length[ids])
+        return ids, np.stack([ends - self.length[ids], ends], axis=1)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.core.decode_bytes(ids).decode()
 
 
 def model_of(spark: SparkSession, path: str):
-    """The tokenizer's file, read by the driver and sent to the tasks (a few MB, whatever the tables)."""
-    with open(path, encoding="utf-8") as f:
+    """The tokenizer's file, read by the driver and sent to the tasks (under a MB, whatever the tables)."""
+    with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
 
@@ -123,6 +146,7 @@ def format_conversations(
     rows: DataFrame,
     roles: tuple[str, ...] = ("assistant",),
     tokenizer: str = TOKENIZER,
+    pattern: str = PATTERN,
     chunk_turns: int = PIECE_TURNS,
     piece_chars: int = PIECE_CHARS,
 ) -> DataFrame:
@@ -140,18 +164,17 @@ def format_conversations(
     model = model_of(rows.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = tokenizer_of(model.value, roles)
+        t = Coder(model.value, pattern, roles)
         held: list[tuple[str | None, str]] = []
         key, part, first, size, ready = None, 0, None, 0, 0
         out: list[tuple] = []
 
         def piece() -> tuple:
             text, spans = render(held)
-            enc = t.encode(text, add_special_tokens=False)
+            ids, offsets = t.encode(text)
             wanted = np.array([(a, b) for r, a, b in spans if r in roles], np.int64).reshape(-1, 2)
-            runs = masked(np.array(enc.offsets, np.int64).reshape(-1, 2), wanted)
-            return (*key, part, first, len(held), text, enc.ids, [{"first": int(a), "end": int(b)} for a, b in runs])
+            runs = masked(offsets, wanted)
+            return (*key, part, first, len(held), text, ids, [{"first": int(a), "end": int(b)} for a, b in runs])
 
         def batch_of(some: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
@@ -188,19 +211,18 @@ def format_conversations(
     return dealt.mapInArrow(run, PIECE)
 
 
-def read_back(pieces: DataFrame, tokenizer: str = TOKENIZER, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def read_back(pieces: DataFrame, tokenizer: str = TOKENIZER, pattern: str = PATTERN, roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """Pieces read again: ``turns`` (each as role, newline, text, newline) from the formatted text,
     ``loss`` from the tokens under the mask, decoded and unescaped, with the pieces' keys and sizes."""
     model = model_of(pieces.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        t = tokenizer_of(model.value, roles)
+        t = Coder(model.value, pattern, roles)
         for batch in batches:
             turns, losses, sizes = [], [], []
             for text, ids, runs in zip(*[batch.column(c).to_pylist() for c in ("text", "token_ids", "loss_tokens")]):
                 turns.append("".join(f"{r or ''}\n{x}\n" for r, x in parse(text)))
-                losses.append("".join(unescape(x) for x in t.decode_batch([ids[r["first"] : r["end"]] for r in runs], skip_special_tokens=False)))
+                losses.append("".join(unescape(t.decode(ids[r["first"] : r["end"]])) for r in runs))
                 sizes.append(len(text))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("conv_id", "chunk", "part", "n_turns")], pa.array(turns, pa.string()), pa.array(losses, pa.string()), pa.array(sizes, pa.int64())],
