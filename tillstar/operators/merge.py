@@ -8,7 +8,8 @@ For every table, in load order (country, product, invoice, fact):
 Earlier batches always win; within a batch the first row in file order wins.
 Decimals are narrowed on the way in (half away from zero); rows that would not
 fit, break NOT NULL, exceed a length or did not parse go to ``_rejected``
-instead of aborting the load.  Loading a committed batch id again is a no-op,
+instead of aborting the load.  Keys of earlier batches are read only where their
+filters may hold a key of the batch (operators/keyindex.py).  Loading a committed batch id again is a no-op,
 and loading the same rows under a new id inserts nothing.
 """
 
@@ -20,13 +21,17 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillstar.operators import partials
 from tillstar.operators.clean import classify, repair
-from tillstar.operators.constraints import enforce
+from tillstar.operators.constraints import violation
 from tillstar.operators.dedupe import first_per_key
 from tillstar.schema import DEFAULT_ZONE, LOAD_ORDER, STAR, Limits
-from tillstar.sources.warehouse import Warehouse
+from tillstar.sources.manifest import ConflictError, State, VersionExists
+from tillstar.sources.warehouse import ATTEMPTS, Warehouse
 
 ORDER = "_order"
+#: Cells that cleaning repairs.
+REPAIRED = ("country", "description")
 
 
 def insert_if_absent(
@@ -113,42 +118,94 @@ def merge_star(
     return out
 
 
+def judged(rows: DataFrame, mode: str, limits: Limits) -> DataFrame:
+    """Classified rows, repaired where cleaning keeps them; a repaired row that breaks a constraint has that as its label."""
+    raw = {c: f"_raw_{c}" for c in REPAIRED}
+    kept = F.col("_label").isNull()
+    fixed = repair(rows.withColumns({r: F.col(c) for c, r in raw.items()}), mode).withColumnRenamed("rejected_by", "_label")
+    label = F.when(kept, violation(fixed, limits)).otherwise(F.col("_label"))
+    cells = {c: F.when(kept, F.col(c)).otherwise(F.col(r)) for c, r in raw.items()}
+    return fixed.withColumns({"rejected_by": label, **cells}).select(*rows.columns)
+
+
+def add_rows(wh: Warehouse, ok: DataFrame, seen: State, folder: str, zone_map: DataFrame | None) -> tuple[dict, dict]:
+    """Write the rows of a batch that ``seen`` does not hold; returns the commit's (add, remove)."""
+    firsts = sorted({keys[0] for _, keys in wh.tables.values()})
+    edges = ok.agg(*[f(c).alias(f"{n}_{c}") for c in firsts for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    add: dict[str, dict] = {}
+    remove: dict[str, list[str]] = {}
+    older = None
+    for name in LOAD_ORDER:
+        _, keys = wh.tables[name]
+        rows = project(ok, name, zone_map, wh.limits)
+        if name == "country" and zone_map is None:
+            rows = rows.groupBy(*keys).agg(F.first("zone").alias("zone"))  # all alike: no order to keep
+        known = wh.may_hold(name, ok, seen, edges[f"lo_{keys[0]}"], edges[f"hi_{keys[0]}"])
+        new = insert_if_absent(known, rows, keys, unique=name == "detailinvoice" or ORDER not in rows.columns)
+        if name == "detailinvoice" and wh.surrogate:
+            new = wh.numbered(new, sum(i["rows"] for i in seen.folders(name).values()))
+        add[name] = {folder: wh.write_rows(name, new, folder)}
+        older = known if name == "invoice" else older
+    if zone_map is not None:
+        more, gone = wh.restamped(zone_map, seen, f"{folder}.zones")
+        for t, folders in more.items():
+            add[t] |= folders
+        remove |= gone
+    added = {n: wh.read(n, wh.tables[n][0], [folder]).select(*wh.tables[n][0].fieldNames()) for n in LOAD_ORDER}
+    partials.of_batch(added, older).hint("rebalance").write.mode("overwrite").parquet(wh.path("_partials", folder))
+    return add | {"_partials": {folder: {}}}, remove
+
+
 def load(
     wh: Warehouse,
     raw: DataFrame,
     batch_id: str,
     mode: str = "intended",
-    files: Sequence[str] = (),
+    files: Sequence[str] | DataFrame = (),
     zone_map: DataFrame | None = None,
 ) -> bool:
     """Clean ``raw``, check constraints, merge into the warehouse, commit.
 
     Returns False (and does nothing) when ``batch_id`` is already committed.
     The typed rows are staged first, so the export is parsed once and positions
-    are fixed; they are classified from that copy, and the outcome is staged too.
-    Kept rows, constraint rejects and cleaning rejects are all read from it.
-    Text lengths and decimal widths are the warehouse's ``limits``.  The
-    manifest row is written last.
+    are fixed; classified, repaired and checked rows are staged too, and the four
+    tables and the rejects are read from there. Text lengths and decimal widths
+    are the warehouse's ``limits``. With ``zone_map`` every country gets its zone,
+    those loaded before too.
+
+    Loads may run beside each other: the commit creates the version after the one
+    that the load has read. If another writer got there first, the load reads what
+    that one committed, merges its staged rows against it and tries again, so a key
+    is inserted once (K04) and the first commit wins.
     """
-    ids = wh.committed()
-    if batch_id in ids:
+    seen = wh.state()
+    if batch_id in seen.batches:
         return False
-    rows = wh.stage(raw, batch_id, "_raw")
-    staged = wh.stage(classify(rows), batch_id)
-    kept = repair(staged.filter(F.col("rejected_by").isNull()).drop("rejected_by"), mode)
-    ok, bad = enforce(kept, wh.limits)
-    star = wh.star(ids)
-    firsts = sorted({keys[0] for _, keys in STAR.values()})
-    edges = ok.agg(*[f(c).alias(f"{n}_{c}") for c in firsts for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    bounds = {c: (edges[f"lo_{c}"], edges[f"hi_{c}"]) for c in firsts}
-    for name, new in merge_star(star, ok, zone_map, wh.limits, bounds).items():
-        wh.write_batch(name, new, batch_id)
-    dropped = staged.filter(F.col("rejected_by").isNotNull()).drop("totalcost")
-    wh.write_rejected(dropped.unionByName(bad.select(*dropped.columns)), batch_id)
-    wh.commit(batch_id, files)
-    wh.clear_stage(batch_id, staged.schema)
-    wh.clear_stage(batch_id, rows.schema, "_raw")
-    return True
+    stage = wh.new_folder(batch_id)
+    rows = wh.stage(raw, stage, "_raw")
+    staged = wh.stage(judged(classify(rows), mode, wh.limits), stage)
+    ok = staged.filter(F.col("rejected_by").isNull()).drop("rejected_by")
+    done = False
+    for _ in range(ATTEMPTS):
+        folder = wh.new_folder(batch_id)
+        add, remove = add_rows(wh, ok, seen, folder, zone_map)
+        wh.write_rejected(staged.filter(F.col("rejected_by").isNotNull()).drop("totalcost"), folder)
+        add["_rejected"] = {folder: {}}
+        if wh.write_files(files, folder):
+            add["_files"] = {folder: {}}
+        try:
+            wh.commit(seen, "load", add, remove, batch_id, no_orphans=True)
+            done = True
+            break
+        except VersionExists:
+            seen = wh.state()
+            if batch_id in seen.batches:
+                break
+    else:
+        raise ConflictError("other writers kept committing")
+    wh.clear_stage(stage)
+    wh.clear_stage(stage, "_raw")
+    return done
 
 
 def batch_id_now() -> str:
