@@ -9,5 +9,6 @@ from tillstar.functions.columns import (  # noqa: F401
     parse_timestamp,
     starts_with_letter,
     title_case,
+    unescape,
     year_range,
 )

@@ -49,6 +49,35 @@ def title_case(c) -> Column:
     )
 
 
+# What a backslash and a letter stand for in escaped text.
+ESCAPES = {"a": "\x07", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\x0b", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+_ESCAPED = (
+    r"(\\x[0-9A-Fa-f]{2}|\\u(?:[0-9A-CE-Fa-ce-f][0-9A-Fa-f]{3}|[Dd][0-7][0-9A-Fa-f]{2})"
+    r"|\\U00(?:0[1-9A-Fa-f]|10)[0-9A-Fa-f]{4}|\\[0-7]{1,3}|\\[\s\S]|[^\\]+|\\)"
+)
+
+
+def unescape(c) -> Column:
+    r"""Text with its backslash escapes decoded: ``\n \t \\ ...``, ``\xNN``, ``\uNNNN``, ``\UNNNNNNNN``, octal.
+
+    Escapes that mean nothing, of lone surrogates among them, stay as written.  The text is cut
+    into escapes and what lies between; cells without a backslash are not touched.
+    """
+    col = _col(c)
+
+    plain = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
+
+    def decoded(t: Column) -> Column:
+        octal = t.rlike(r"^\\[0-7]")
+        code = F.when(octal, F.conv(F.substring(t, 2, 3), 8, 16)).otherwise(F.substring(t, 3, 8))
+        point = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        letter = F.when(t.rlike(r"^\\[\s\S]$"), F.element_at(plain, F.substring(t, 2, 1)))
+        return F.when(octal | t.rlike(r"^\\[xuU][0-9A-Fa-f]{2}"), point).otherwise(F.coalesce(letter, t))
+
+    parts = F.transform(F.regexp_extract_all(col, F.lit(_ESCAPED), F.lit(1)), decoded)
+    return F.when(F.contains(col, F.lit("\\")), F.array_join(parts, "")).otherwise(col)
+
+
 def parse_timestamp(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; unparseable text gives null (never raises)."""
     col = _col(c)

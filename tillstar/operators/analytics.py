@@ -12,17 +12,24 @@ Shared relation: ``sales = detailinvoice JOIN invoice USING (invoiceno)``.  A
 
 Ties under a limit are broken by the dimension value (nulls last), so the
 surviving rows are deterministic.
+
+A star read from a warehouse carries what its commits vouch for
+(:class:`tillstar.sources.warehouse.Star`): where every fact row has its invoice, the
+invoice join of product counts goes; where batches have left partial aggregates, KPIs,
+months, country counts and the price list are merged from those and the fact is not
+scanned.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillstar.functions import cents_to_price, half_up_div, year_range
-from tillstar.schema import PRICE
 
 Star = Mapping[str, DataFrame]
 
@@ -30,6 +37,12 @@ INVOICE_DIMS = ("country", "customerid", "invoicedate")
 FACT_DIMS = ("stockcode", "unitprice", "quantity")
 
 
+def _partials(star: Star, kind: str) -> DataFrame | None:
+    """Merged aggregates of a kind (key, n, amount), if the star has them."""
+    merged = getattr(star, "partials", None)
+    return None if merged is None else merged.filter(F.col("kind") == kind).select("key", "n", "amount")
+
+
 def sales(star: Star) -> DataFrame:
     """Fact rows with their invoice attributes (inner join: orphans drop out)."""
     return star["detailinvoice"].join(star["invoice"], "invoiceno")
@@ -60,7 +73,9 @@ def _year_col(year: int | None) -> list[Column]:
 
 def sales_count(star: Star, dim: str, year: int | None = None) -> DataFrame:
     """``dim, n_sales`` (plus ``year`` when filtered) over all sales."""
-    if dim in INVOICE_DIMS and year is None:
+    if dim == "country" and year is None and _partials(star, "country") is not None:
+        grouped = _partials(star, "country").select(F.col("key").alias("country"), F.col("n").alias("n_sales"))
+    elif dim in INVOICE_DIMS and year is None:
         grouped = (
             _per_invoice(star)
             .join(_invoices(star).select("invoiceno", dim), "invoiceno")
@@ -78,10 +93,12 @@ def sales_count(star: Star, dim: str, year: int | None = None) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n_sales"))
         )
     elif dim in FACT_DIMS:
-        # An inner join with a unique-keyed invoice keeps each fact row at most once.
-        fact = star["detailinvoice"].join(
-            _invoices(star, year).select("invoiceno"), "invoiceno", "left_semi"
-        )
+        # An inner join with a unique-keyed invoice keeps each fact row at most once, and all of
+        # them where no year is asked for and every fact row is known to have its invoice.
+        if year is None and getattr(star, "no_orphans", False):
+            fact = star["detailinvoice"].filter(F.col("invoiceno").isNotNull())
+        else:
+            fact = star["detailinvoice"].join(_invoices(star, year).select("invoiceno"), "invoiceno", "left_semi")
         grouped = fact.groupBy(dim).agg(F.count(F.lit(1)).alias("n_sales"))
     else:
         raise ValueError(f"unknown dimension {dim!r}")
@@ -137,6 +154,16 @@ def kpis(star: Star) -> DataFrame:
     Revenue is the exact decimal sum truncated to an integer.  The four
     one-row aggregates are stacked and folded into one row (no cross join).
     """
+    if getattr(star, "partials", None) is not None:
+        one = star.partials
+
+        def total(kind: str, key: str, column: str, name: str) -> Column:
+            hit = (F.col("kind") == kind) & (F.col("key") == key)
+            return F.coalesce(F.sum(F.when(hit, F.col(column))).cast("long"), F.lit(0).cast("long")).alias(name)
+
+        counts = [total("rows", t, "n", n) for t, n in (("invoice", "invoices"), ("product", "products"), ("country", "countries"))]
+        row = one.filter(F.col("kind").isin("rows", "revenue")).agg(*counts, total("revenue", "", "amount", "revenue"))
+        return row.withColumn("is_empty", F.col("invoices") == 0)
     parts = [
         star["invoice"].agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("invoices")),
         star["product"].agg(F.count(F.lit(1)).alias("v")).withColumn("k", F.lit("products")),
@@ -158,6 +185,11 @@ def kpis(star: Star) -> DataFrame:
 
 def monthly(star: Star) -> DataFrame:
     """Month of year (years merged): ``month, n_sales, revenue`` (revenue rounded)."""
+    known = _partials(star, "month")
+    if known is not None:
+        return known.select(
+            F.col("key").cast("int").alias("month"), F.col("n").alias("n_sales"), F.round("amount").cast("long").alias("revenue")
+        ).orderBy(F.col("month").asc_nulls_last())
     return (
         _per_invoice(star)
         .join(star["invoice"].select("invoiceno", F.month("invoicedate").alias("month")), "invoiceno")
@@ -192,33 +224,50 @@ def country_product_revenue(star: Star, country: str, n: int = 10) -> DataFrame:
 
 
 def _price_stats(star: Star) -> DataFrame:
-    cents = (F.col("unitprice") * 100).cast("long")
-    return star["detailinvoice"].groupBy("stockcode").agg(
-        F.sum(cents).alias("_cents"), F.count("unitprice").alias("_n")
-    )
-
+    """(stockcode, _sum, _n): exact sum and number of the unit prices."""
+    known = _partials(star, "price")
+    if known is not None:
+        return known.select(F.col("key").alias("stockcode"), F.col("amount").alias("_sum"), F.col("n").alias("_n"))
+    return star["detailinvoice"].groupBy("stockcode").agg(F.sum("unitprice").alias("_sum"), F.count("unitprice").alias("_n"))
 
-def _mean_price() -> Column:
-    exact = half_up_div("_cents", "_n")
-    return F.when(F.col("_n") > 0, cents_to_price(exact, PRICE)).alias("mean_price")
 
+def _mean_price(price: T.DecimalType) -> Column:
+    """``_sum / _n`` rounded half away from zero to two decimals, in integers of the price's smallest unit."""
+    scale = max(price.scale, 2)
+    units = f"CAST(_sum * {10 ** scale} AS DECIMAL(38,0))"
+    exact = half_up_div(units, f"(CAST(_n AS DECIMAL(20,0)) * {10 ** (scale - 2)})")
+    wide = T.DecimalType(min(38, price.precision - price.scale + 2), 2)
+    return F.when(F.col("_n") > 0, cents_to_price(exact, wide)).alias("mean_price")
 
-def price_list(star: Star, products: DataFrame | None = None) -> DataFrame:
-    """Sold products with their mean unit price, rounded half up to cents.
 
-    The mean is exact (integer cents, half away from zero), like a numeric
-    ``ROUND(AVG(price), 2)``.  Fact rows are aggregated per stockcode first; the
-    product side is unique on stockcode, so the join is one to one.
-    """
+def mean_prices(star: Star, products: DataFrame | None = None) -> DataFrame:
+    """Sold products with their mean unit price, in no order."""
     prod = star["product"] if products is None else products
+    price = star["detailinvoice"].schema["unitprice"].dataType
     return (
         prod.select("stockcode", "description")
         .join(_price_stats(star), "stockcode")
-        .select("stockcode", "description", _mean_price())
-        .orderBy("stockcode")
+        .select("stockcode", "description", _mean_price(price))
     )
 
 
+def price_list(star: Star, products: DataFrame | None = None) -> DataFrame:
+    """Sold products with their mean unit price, rounded half up to cents, by stockcode.
+
+    The mean is exact (integers of the price's smallest unit, half away from zero), like a
+    numeric ``ROUND(AVG(price), 2)``, and as wide as the warehouse's prices.  Fact rows are
+    aggregated per stockcode first; the product side is unique on stockcode, so the join is
+    one to one.
+    """
+    return mean_prices(star, products).orderBy("stockcode")
+
+
+def search_terms(text: str) -> list[str]:
+    """Words of a search, in lower case: runs without white space, or what stands between quotes."""
+    found = re.findall(r'"([^"]*)"?|(\S+)', text.lower())
+    return [t for t in (quoted or word for quoted, word in found) if t]
+
+
 def price_search(
     star: Star,
     term: str,
@@ -228,21 +277,23 @@ def price_search(
     descending: bool = False,
     after: tuple | None = None,
 ) -> DataFrame:
-    """One page of the price list whose code, description or price contains a text, in any case.
+    """One page of the price list whose cells contain every word of a search, in any case.
 
-    Sorted by ``sort`` (stockcode, description or mean_price), ties by stockcode.  A page is
+    Words may stand in any order and in any of code, description and price; words between double
+    quotes are one phrase, which must lie in one cell.  Each word is one predicate on the scan;
+    an empty search finds every row.  Sorted by ``sort`` (stockcode, description or mean_price), ties by stockcode.  A page is
     ``n`` rows after ``offset`` rows or, without reading what lies before it, ``after`` the last
     page's (sort value, stockcode).
     """
     if sort not in ("stockcode", "description", "mean_price"):
         raise ValueError("sort must be stockcode, description or mean_price")
-    t = term.lower()
-    rows = price_list(star)
+    rows = mean_prices(star)
     cells = [F.lower(F.col("stockcode")), F.lower(F.col("description")), F.col("mean_price").cast("string")]
-    hit = F.lit(False)
-    for c in cells:
-        hit = hit | F.coalesce(c.contains(t), F.lit(False))
-    rows = rows.filter(hit)
+    for t in search_terms(term):
+        hit = F.lit(False)
+        for c in cells:
+            hit = hit | F.coalesce(c.contains(t), F.lit(False))
+        rows = rows.filter(hit)
     key = F.col(sort)
     if after is not None:
         value, code = after

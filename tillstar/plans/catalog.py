@@ -48,6 +48,7 @@ def analytics_queries() -> dict[str, Query]:
     q["product_price_search_by_price"] = lambda spark, d: A.price_search(
         star(spark, d), P.SEARCH_PRICE, n=P.SEARCH_PAGE, sort="mean_price", descending=True
     )
+    q["product_price_search_words"] = lambda spark, d: A.price_search(star(spark, d), P.SEARCH_WORDS, n=P.SEARCH_PAGE)
     q["region_product_top3"] = lambda spark, d: A.region_product_top(star(spark, d), k=P.JOINT_TOP_K)
     return q
 

@@ -7,6 +7,8 @@ the session's shared checkpoint folder and return a lazy read of what they wrote
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,11 @@ from tillstar.operators import constraints as K
 from tillstar.operators.merge import load
 from tillstar.operators.quality import quality_by_rule, quality_report
 from tillstar.operators import analytics as A
-from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, star, strained_export, text_export
+from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, star, strained_export, table, text_export
 from tillstar.schema import LOAD_ORDER, MISSING_DESCRIPTION, RAW_COLUMNS, STAR, UNSPECIFIED_COUNTRY, WIDE
 from tillstar.session import scratch_path
-from tillstar.sources.export import export_files, read_export, read_landing, write_export
-from tillstar.sources.warehouse import Warehouse
+from tillstar.sources.export import new_files, read_export, read_landing, write_export
+from tillstar.sources.warehouse import SURROGATE, Warehouse
 from tillstar.streaming.ingest import ingest
 
 CLEAN_OUT = list(C.CLEAN_COLUMNS)
@@ -127,6 +129,74 @@ def stream_mixed_headers(spark: SparkSession, d: str) -> DataFrame:
     return Warehouse(spark, root, WIDE).table("detailinvoice")
 
 
+def load_interleaved(spark: SparkSession, d: str) -> DataFrame:
+    """Two overlapping batches loaded side by side: whoever commits first, a key is inserted once."""
+    root, dirty = scratch_path(spark, "warehouse"), _dirty(spark, d)
+    odd = dirty.filter(F.col(ORDER)["l_orderkey"] % 3 != 1)
+    with ThreadPoolExecutor(2) as pool:
+        jobs = [pool.submit(load, Warehouse(spark, root, WIDE), rows, name) for name, rows in (("A", batch_a(dirty)), ("B", odd))]
+        if not all(j.result() for j in jobs):
+            raise RuntimeError("a batch was not loaded")
+    return Warehouse(spark, root, WIDE).table("detailinvoice")
+
+
+def load_zone_restamp(spark: SparkSession, d: str) -> DataFrame:
+    """A zone map that comes with the second batch stamps the countries of the first one too."""
+    wh = _warehouse(spark)
+    dirty = _dirty(spark, d)
+    load(wh, batch_a(dirty), "A")
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    zones = nation.filter("n_nationkey % 4 <> 0").join(region, nation["n_regionkey"] == region["r_regionkey"])
+    load(wh, batch_b(dirty), "B", zone_map=zones.select(C.title_case("n_name").alias("country"), F.col("r_name").alias("zone")))
+    return wh.table("country")
+
+
+def load_surrogate(spark: SparkSession, d: str) -> DataFrame:
+    """Dense ids of fact rows: those of the first batch come before those of the second."""
+    wh = Warehouse(spark, scratch_path(spark, "warehouse"), WIDE, surrogate=True)
+    dirty = _dirty(spark, d)
+    load(wh, batch_a(dirty), "A")
+    first = wh.table("detailinvoice").count()
+    load(wh, batch_b(dirty), "B")
+    ids = F.col(SURROGATE)
+    return wh.table("detailinvoice").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct(ids).alias("n_ids"),
+        F.min(ids).alias("first_id"),
+        F.max(ids).alias("last_id"),
+        F.count_if((F.col("invoiceno").cast("long") % 3 == 0) & (ids <= first)).alias("n_late_among_first"),
+        F.count_if(ids <= first).alias("n_first"),
+    )
+
+
+def load_compacted(spark: SparkSession, d: str) -> DataFrame:
+    """Both batches, compacted, and one of them loaded again under another id."""
+    wh = _two_batch_warehouse(spark, d)
+    if not wh.compact():
+        raise RuntimeError("nothing was compacted")
+    load(wh, batch_a(_dirty(spark, d)), "A2")
+    return wh.table("detailinvoice")
+
+
+def warehouse_price_list_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Prices beyond six digits in a warehouse that has room for them."""
+    wh = _warehouse(spark)
+    rich = (F.col("unitprice") * 100_000).cast(_dirty(spark, d).schema["unitprice"].dataType)
+    load(wh, batch_a(_dirty(spark, d)).withColumn("unitprice", rich), "A")
+    return A.price_list(wh.star())
+
+
+def csv_escapes(spark: SparkSession, d: str) -> DataFrame:
+    """Backslash escapes written into an export's descriptions, decoded when it is read."""
+    path = scratch_path(spark, "export")
+    part = F.col(ORDER)["l_partkey"]
+    tails = [r"\x41\u00e9", r"\\n", r"\101\tb", r"c:\q", "plain"]
+    tail = F.element_at(F.array(*[F.lit(t) for t in tails]), (part % 5 + 1).cast("int"))
+    write_export(_dirty(spark, d).withColumn("description", F.concat("description", tail)), path)
+    back = read_export(spark, path, order_by="path", escapes=True)
+    return back.select("invoiceno", "stockcode", "description")
+
+
 def stage_replace(spark: SparkSession, d: str) -> DataFrame:
     wh = Warehouse(spark, scratch_path(spark, "warehouse"))
     dirty = _dirty(spark, d)
@@ -177,9 +247,8 @@ def landing_incremental(spark: SparkSession, d: str) -> DataFrame:
     dirty = _dirty(spark, d)
     for bid, batch in (("A", batch_a(dirty)), ("B", batch_b(dirty))):
         write_export(batch, f"{landing}/{bid}")
-        done = wh.loaded_files()
-        new = [f for f in export_files(spark, landing) if f not in set(done)]
-        load(wh, read_landing(spark, landing, order_by="path", exclude=done), bid, files=new)
+        done = wh.file_ledger()
+        load(wh, read_landing(spark, landing, order_by="path", exclude=done), bid, files=new_files(spark, landing, done))
     return wh.table("detailinvoice")
 
 
@@ -261,6 +330,14 @@ def etl_queries() -> dict:
     q["stream_mixed_headers"] = stream_mixed_headers
     q["load_rejected"] = load_rejected
     q["load_long_numbers"] = load_long_numbers
+    q["load_interleaved"] = load_interleaved
+    q["load_zone_restamp"] = load_zone_restamp
+    q["load_surrogate"] = load_surrogate
+    q["load_compacted"] = load_compacted
+    q["csv_escapes"] = csv_escapes
+    q["warehouse_price_list_wide"] = warehouse_price_list_wide
+    q["warehouse_kpi"] = lambda spark, d: A.kpis(_two_batch_warehouse(spark, d).star())
+    q["warehouse_product_top"] = lambda spark, d: A.ranking(_two_batch_warehouse(spark, d).star(), "stockcode")
     q["warehouse_country_top"] = lambda spark, d: A.ranking(_two_batch_warehouse(spark, d).star(), "country")
     q["warehouse_monthly"] = lambda spark, d: A.monthly(_two_batch_warehouse(spark, d).star())
     q["warehouse_price_list"] = lambda spark, d: A.price_list(_two_batch_warehouse(spark, d).star())

@@ -122,6 +122,11 @@ ORDER BY stockcode LIMIT {P.SEARCH_PAGE} OFFSET {P.SEARCH_OFFSET}"""
    OR CAST(mean_price AS VARCHAR) LIKE '%{P.SEARCH_PRICE}%'
 ORDER BY mean_price DESC NULLS LAST, stockcode LIMIT {P.SEARCH_PAGE}"""
     )
+    words = " AND ".join(
+        f"(lower(description) LIKE '%{w}%' OR lower(stockcode) LIKE '%{w}%' OR CAST(mean_price AS VARCHAR) LIKE '%{w}%')"
+        for w in ("1", "ring", "hot r")
+    )
+    q["product_price_search_words"] = with_star(f"SELECT * FROM ({price}) WHERE {words} ORDER BY stockcode LIMIT {P.SEARCH_PAGE}")
     q["region_product_top3"] = with_star(
         f"""SELECT country, stockcode, n_sales, CAST(rnk AS INTEGER) AS rank FROM (
   SELECT country, stockcode, count(*) AS n_sales,
@@ -428,6 +433,37 @@ SELECT {RAW}, rejected_by FROM (SELECT *, {label} AS rejected_by FROM {_clean('s
         "CAST(round(sum(totalcost)) AS BIGINT) AS revenue FROM w_sales GROUP BY 1 ORDER BY 1 NULLS LAST"
     )
     q["warehouse_price_list"] = _loaded(_price_sql("DECIMAL(8,2)") + " ORDER BY stockcode")
+    one = "merged AS (SELECT 0 AS batch, * FROM {})"
+    q["load_interleaved"] = with_dirty(f", {one.format(_clean('dirty'))}\n{_merged_body('detailinvoice')}")
+    q["load_compacted"] = _merged("detailinvoice")
+    q["load_zone_restamp"] = with_dirty(
+        f""", {_both_batches()}, zones AS (
+  SELECT {_title('n_name')} AS name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 <> 0)
+SELECT DISTINCT country, coalesce(r_name, 'Earth') AS zone FROM merged LEFT JOIN zones ON name = country"""
+    )
+    q["load_surrogate"] = with_dirty(
+        f""", {_both_batches()}, fact AS ({_merged_body('detailinvoice')})
+SELECT count(*) AS n_rows, count(*) AS n_ids, 1::BIGINT AS first_id, count(*) AS last_id, 0::BIGINT AS n_late_among_first,
+       (SELECT count(*) FROM merged WHERE batch = 0) AS n_first FROM fact"""
+    )
+    rich = "rich AS (SELECT * REPLACE (CAST(unitprice * 100000 AS DECIMAL(18,6)) AS unitprice) FROM batch_a)"
+    q["warehouse_price_list_wide"] = with_dirty(
+        f", {rich}, {one.format(_clean('rich'))}, w_product AS ({_merged_body('product')}), w_detail AS ({_merged_body('detailinvoice')})\n"
+        + _price_sql("DECIMAL(18,2)") + " ORDER BY stockcode"
+    )
+    q["warehouse_kpi"] = _loaded(
+        """SELECT (SELECT count(*) FROM w_invoice) AS invoices, (SELECT count(*) FROM w_product) AS products,
+       (SELECT count(*) FROM w_country) AS countries,
+       (SELECT COALESCE(CAST(trunc(sum(totalcost)) AS BIGINT), 0) FROM w_detail) AS revenue,
+       (SELECT count(*) FROM w_invoice) = 0 AS is_empty"""
+    )
+    q["warehouse_product_top"] = _loaded(
+        f"SELECT stockcode, count(*) AS n_sales FROM w_sales GROUP BY stockcode ORDER BY n_sales DESC, stockcode ASC NULLS LAST LIMIT {P.TOP_N}"
+    )
+    q["csv_escapes"] = with_dirty(
+        r"""SELECT invoiceno, stockcode, description || CASE l_partkey % 5 WHEN 0 THEN 'Aé' WHEN 1 THEN '\n'
+         WHEN 2 THEN 'A' || chr(9) || 'b' WHEN 3 THEN 'c:\q' ELSE 'plain' END AS description FROM dirty"""
+    )
     q["stage_replace"] = with_dirty(f"SELECT {CLEAN_OUT} FROM {_clean('batch_b')}")
     q["csv_round_trip"] = with_dirty(f"SELECT {RAW}, 0 AS n_unparsed FROM dirty")
     q["csv_header_any_case"] = q["clean_rows"]

@@ -10,3 +10,4 @@ SEARCH_TERM = "ring"
 SEARCH_OFFSET = 10
 SEARCH_PAGE = 25
 SEARCH_PRICE = "9.9"
+SEARCH_WORDS = '1 RING "hot r"'

@@ -18,19 +18,21 @@ Two lineage columns are added, neither takes part in duplicate checks:
 * ``_unparsed``: name and text of the cells that did not parse, or that their type would
   round to zero (K06).
 
-CSV is splittable unless ``multiline=True``; nothing here touches the driver.
+CSV is splittable unless ``multiline=True``.  Listings come from Spark, header lines are read in
+tasks; the driver sees file names and distinct header lines.
 """
 
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillstar.functions import missing_as_null, parse_timestamp
+from tillstar.functions import missing_as_null, parse_timestamp, unescape
 from tillstar.schema import CUSTOMER_READ, DEFAULT_DATE_FORMATS, PRICE_READ, QTY_READ, RAW_COLUMNS
 
 ORDER = "_order"
@@ -118,16 +120,45 @@ def with_file_order(df: DataFrame, order_by: str = "mtime") -> DataFrame:
     return df.withColumn(ORDER, F.struct(*fields))
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> tuple[str, ...]:
-    """Column names of one file, from its first line."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        line = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, encoding)).readLine()
-    finally:
-        stream.close()
-    return tuple(next(csv.reader([line or ""])))
+def export_paths(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """(file): paths of the files of an export or a folder, from Spark's listing; no content is read."""
+    r = spark.read.format("binaryFile")
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    if recursive:
+        r = r.option("recursiveFileLookup", True)
+    return r.load([path] if isinstance(path, str) else list(path)).select(_normal(F.col("path")).alias("file"))
+
+
+def header_lines(spark: SparkSession, files: Sequence[str], encoding: str) -> DataFrame:
+    """(file, line): the first line of every file that has one, read in tasks.
+
+    Each file is one partition of a session of its own, whose tasks stop after the first batch of
+    one line, so a task reads one buffer however long its file.
+    """
+    quick = spark.newSession()
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        quick.conf.set(k, str(1 << 60))
+    quick.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    whole_lines = quick.read.schema("line string").option("encoding", encoding).option("sep", "\x01").option("quote", "").option("mode", "PERMISSIVE")
+    lines = whole_lines.csv(list(files)).select(F.col("_metadata.file_path").alias("file"), "line")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.slice(0, 1)
+                return
+
+    return lines.mapInArrow(first, "file string, line string")
+
+
+def _header_groups(spark: SparkSession, files: Sequence[str], encoding: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """Header names with the files that carry them; one row per distinct header line comes to the driver."""
+    if not files:
+        return []
+    lines = header_lines(spark, files, encoding).filter(F.length("line") > 0)
+    groups = lines.groupBy("line").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("line").collect()
+    return [(tuple(next(csv.reader([g["line"].lstrip("\ufeff")]))), g["files"]) for g in groups]
 
 
 def read_files(
@@ -137,18 +168,16 @@ def read_files(
     encoding: str = ENCODING,
     multiline: bool = False,
     order_by: str = "mtime",
+    escapes: bool = False,
 ) -> DataFrame:
     """Typed rows of some export files, columns matched by name whatever each file's order.
 
     Files are grouped by their header lines, and a group is read as one scan. A file without all
     contract columns fails here, before any data is read. Files without a line have no rows.
+    With ``escapes`` the backslash escapes in text cells are decoded, after the cells are cut.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for f in files:
-        groups.setdefault(_header(spark, f, encoding), []).append(f)
-    groups.pop((), None)
     out = None
-    for names, paths in groups.items():
+    for names, paths in _header_groups(spark, files, encoding):
         kinds = T.StructType([T.StructField(n, T.StringType()) for n in names])
         text = _reader(spark, encoding, multiline, None, False).schema(kinds).csv(paths)
         assert_header(text)
@@ -159,6 +188,8 @@ def read_files(
         kind = f"struct<{'mtime timestamp, ' * (order_by == 'mtime')}{order}>".replace(" ", ":").replace(",:", ",")
         text = ", ".join(f"{c} string" for c in RAW_COLUMNS)
         out = spark.createDataFrame([], f"{text}, {ORDER} {kind}")
+    if escapes:
+        out = out.withColumns({c: unescape(c) for c in RAW_COLUMNS})
     return typed(null_tokens(out), date_formats)
 
 
@@ -171,11 +202,11 @@ def read_export(
     order_by: str = "mtime",
     glob: str | None = None,
     recursive: bool = False,
+    escapes: bool = False,
 ) -> DataFrame:
     """One export file, several files, or a folder of exports."""
-    paths = [path] if isinstance(path, str) else list(path)
-    files = _reader(spark, encoding, multiline, glob, recursive).csv(paths).inputFiles()
-    return read_files(spark, files, date_formats, encoding, multiline, order_by)
+    files = sorted(r["file"] for r in export_paths(spark, path, glob, recursive).collect())
+    return read_files(spark, files, date_formats, encoding, multiline, order_by, escapes)
 
 
 def read_landing(
@@ -184,16 +215,29 @@ def read_landing(
     date_formats: Sequence[str] = DEFAULT_DATE_FORMATS,
     encoding: str = ENCODING,
     order_by: str = "mtime",
-    exclude: Sequence[str] = (),
+    exclude: Sequence[str] | DataFrame = (),
     multiline: bool = False,
+    escapes: bool = False,
 ) -> DataFrame:
     """Every ``*.csv`` below ``folder`` (recursively), minus already loaded files.
 
-    ``exclude`` is the ledger of consumed file paths (S06): those files are not opened.
+    ``exclude`` is the ledger of consumed file paths (S06), a list or a frame (file): those files
+    are not opened.
     """
-    done = {normalise_path(f) for f in exclude}
-    new = [f for f in export_files(spark, folder) if f not in done]
-    return read_files(spark, new, date_formats, encoding, multiline, order_by)
+    new = sorted(r["file"] for r in new_files(spark, folder, exclude).collect())
+    return read_files(spark, new, date_formats, encoding, multiline, order_by, escapes)
+
+
+def new_files(spark: SparkSession, folder: str, exclude: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """(file): the ``*.csv`` files below ``folder`` that the ledger does not hold, by an anti join."""
+    files = export_paths(spark, folder, "*.csv", True)
+    if not isinstance(exclude, DataFrame):
+        exclude = spark.createDataFrame([(f,) for f in exclude], "file string")
+    return files.join(exclude.select(_normal(F.col("file")).alias("file")), "file", "left_anti")
+
+
+def _normal(p: Column) -> Column:
+    return F.regexp_replace(p, "^file:///", "file:/")
 
 
 def normalise_path(p: str) -> str:
@@ -203,8 +247,7 @@ def normalise_path(p: str) -> str:
 
 def export_files(spark: SparkSession, folder: str) -> list[str]:
     """Paths of the ``*.csv`` files below ``folder`` (a file listing, no data read)."""
-    files = _reader(spark, ENCODING, False, "*.csv", True).csv(folder).inputFiles()
-    return sorted(normalise_path(f) for f in files)
+    return sorted(r["file"] for r in export_paths(spark, folder, "*.csv", True).collect())
 
 
 def write_export(
