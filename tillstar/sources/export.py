@@ -121,7 +121,8 @@ def with_file_order(df: DataFrame, order_by: str = "mtime") -> DataFrame:
 
 
 def export_paths(spark: SparkSession, path: str | Sequence[str], glob: str | None = None, recursive: bool = False) -> DataFrame:
-    """(file): paths of the files of an export or a folder, from Spark's listing; no content is read."""
+    """(file): paths of the files of an export or a folder, from Spark's listing; no content is read.
+    Files of no bytes hold nothing and are left out."""
     r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -298,9 +298,10 @@ class Warehouse:
 
     # -- reset (S11) ---------------------------------------------------------
     def reset(self, confirm: bool = False) -> None:
-        """Forget every batch, then delete all tables, rejects and staging.  Needs ``confirm=True``.
+        """Forget every batch, then delete its rows, rejects, filters and ledger.  Needs ``confirm=True``.
 
-        The commit goes first, so readers see the full star or an empty one, never a part.
+        The commit goes first, so readers see the full star or an empty one, never a part. Staging
+        folders belong to loads under way, which go on against the empty star.
         """
         if not confirm:
             raise PermissionError("reset() deletes every warehouse row; call it with confirm=True")
@@ -313,9 +314,11 @@ class Warehouse:
                 continue
         else:
             raise ConflictError("other writers kept committing")
-        for name in (*reversed(LOAD_ORDER), "_rejected", "_staging", "_raw", "_keys", "_partials", "_files"):
-            for f in [None] if name in ("_staging", "_raw") else sorted(state.folders(name)):
+        for name in (*reversed(LOAD_ORDER), "_rejected", "_partials", "_files"):
+            for f in sorted(state.folders(name)):
                 _delete(self.spark, self.path(name, f))
+        for f in sorted({f for name in BUCKETED for f in state.folders(name)}):
+            _delete(self.spark, self.path("_keys", f))
 
 
 def to_records(df: DataFrame, limit: int) -> list[dict]:
