@@ -10,15 +10,17 @@ The ledger holds one row per (blob, rule version) already scanned, with its find
 4. joins findings back to every path (row) that holds the blob.
 
 Positions come from built-in functions: ``split`` by a rule's pattern gives the pieces between
-matches, ``regexp_extract_all`` the matches; running sums of both lengths are the spans, in
-code points. A rule's patterns only run on texts that contain one of its literal hints.
+matches, ``regexp_extract_all`` the matches; a running sum of both lengths, over the rows of one
+blob and rule, gives the spans, in code points. The rows of a blob stay in the partition that
+its text came to, so the sum needs no further shuffle, and time grows with the number of matches.
+A rule's patterns only run on texts that contain one of its literal hints.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillstar.llm.common import fresh, quoted, stage, table
@@ -51,59 +53,52 @@ BASE = (
 )
 # Kinds the method adds.
 EXTRA = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, "", ("private key-----",)),
+    Rule(
+        "private_key",
+        # the whole key: header lines and base64 up to END, or the base64 lines if END is missing
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x09-\x0D\x20]*(?:Proc-Type:[^\x0A\x0D]*[\x0A\x0D]+)?(?:DEK-Info:[^\x0A\x0D]*[\x0A\x0D]+)?"
+        r"[A-Za-z0-9+/=\\\x09-\x0D\x20]*-----END [A-Z ]*PRIVATE KEY-----|[\x0A\x0D]+[A-Za-z0-9+/=]{16}[A-Za-z0-9+/=\x0A\x0D]*)?",
+        0,
+        "",
+        ("private key-----",),
+    ),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, "", ("eyj",)),
     Rule("bearer", r"[Bb]earer\x20+[A-Za-z0-9+/_.=-]{16,}", 0, "", ("bearer",)),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\x09-\x0D\x20/:@]{1,80}:[^\x09-\x0D\x20/:@]{1,80}@", 0, "", ("://",)),
+    # of a longer scheme the span takes the last 21 characters
+    Rule("url_login", r"[a-z][a-z0-9+.-]{0,20}://[^\x09-\x0D\x20/:@]+:[^\x09-\x0D\x20/:@]+@", 0, "", ("://",)),
 )
 RULES = BASE + EXTRA
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 
-def spans(text: Column, low: Column, rule: Rule) -> Column:
-    """Array of a rule's spans in a text; ``low`` is the text in lower case."""
-    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+def matches(text: Column, low: Column, rule: Rule, nth: int) -> Column:
+    """Array of a rule's matches in a text: rule, number, length of gap and match, and whether it counts."""
+    hinted = F.lit(True)
     if rule.hints:
         hinted = F.contains(low, F.lit(rule.hints[0]))
         for h in rule.hints[1:]:
             hinted = hinted | F.contains(low, F.lit(h))
-        found = F.when(hinted, found).otherwise(F.array().cast("array<string>"))
-    gaps = F.split(text, rule.pattern, -1)
-    zero = F.array().cast(f"array<{SPAN}>")
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        return F.struct(
-            end.alias("at"),
-            F.concat(acc["out"], F.array(F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end")))).alias("out"),
-        )
-
-    def located(hits: Column) -> Column:
-        pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-        if rule.least:
-            # a running sum needs every match; those too short go afterwards
-            measured = F.transform(hits, lambda h: F.length(F.regexp_extract(h, rule.tail, 1) if rule.tail else h) >= rule.least)
-            all_of = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), zero.alias("out")), step)["out"]
-            both = F.arrays_zip(all_of.alias("span"), measured.alias("ok"))
-            return F.transform(F.filter(both, lambda b: b["ok"]), lambda b: b["span"])
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), zero.alias("out")), step)["out"]
-
-    return F.when(F.size(found) > 0, located(found)).otherwise(zero)
-
-
-def find(text: Column, low: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All spans of all rules, by start, then the order of the rules."""
-    parts = []
-    for i, r in enumerate(rules):
-        parts.append(
-            F.transform(
-                spans(text, low, r),
-                lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("nth"), s["end"].alias("end"), s["kind"].alias("kind")),
-            )
-        )
-    ordered = F.array_sort(F.concat(*parts))
-    return F.transform(ordered, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    hits, gaps = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
+    ok = lambda h: F.length(F.regexp_extract(h, rule.tail, 1) if rule.tail else h) >= rule.least
+    one = lambda h, g: F.struct(
+        F.lit(nth).alias("nth"), F.coalesce(F.length(g), F.lit(0)).alias("gap"), F.length(h).alias("size"), ok(h).alias("ok")
+    )
+    pairs = F.filter(F.zip_with(hits, gaps, lambda h, g: F.when(h.isNotNull(), one(h, g))), lambda p: p.isNotNull())
+    return F.when(hinted, pairs).otherwise(F.array().cast("array<struct<nth:int,gap:int,size:int,ok:boolean>>"))
+
+
+def find(blobs: DataFrame, text: str, low: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, findings): all spans of all rules, by start, then the order of the rules. One row per blob in, one out."""
+    every = F.concat(*[matches(F.col(text), F.col(low), r, i) for i, r in enumerate(rules)])
+    rows = blobs.select("blob", F.posexplode_outer(every).alias("pos", "m")).select("blob", "pos", "m.*")
+    run = Window.partitionBy("blob", "nth").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(run).cast("int"))
+    kind = F.element_at(F.array(*[F.lit(r.kind) for r in rules]), F.col("nth") + 1)
+    span = F.struct((F.col("end") - F.col("size")).alias("start"), "nth", "end", kind.alias("kind"))
+    found = rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("ok"), span))).alias("found"))
+    return found.select(
+        "blob", F.transform("found", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("findings")
+    )
 
 
 def blob_id(text: Column) -> Column:
@@ -123,7 +118,8 @@ def scan(
     again for the same rule version. New ledger rows are written to the shared folder, one per
     blob scanned now, and should be appended to the ledger. A null text is the empty blob.
     Repeated rows share a blob and keep their own result row. Input columns named blob or
-    findings are replaced; other columns pass through. Without rows both results are empty.
+    findings are replaced; other columns pass through. A very long text is scanned whole, its
+    matches are rows of its blob. Without rows both results are empty.
     """
     keep = [c for c in versions.columns if c.lower() not in ("blob", "findings")]
     body, low, known = fresh("body"), fresh("low"), fresh("known")
@@ -136,7 +132,7 @@ def scan(
     # one copy of each blob: map tasks drop their own copies first, so a hot blob stays small
     unseen = blobs.groupBy("blob").agg(F.first(body).alias(body)).withColumn(low, F.lower(body))
     fresh_rows = stage(
-        unseen.select("blob", F.lit(rule_version).alias("rule_version"), find(F.col(body), F.col(low), rules).alias("findings")),
+        find(unseen, body, low, rules).select("blob", F.lit(rule_version).alias("rule_version"), "findings"),
         "secret-ledger",
     )
     everything = fresh_rows.select("blob", "findings")
@@ -149,18 +145,28 @@ def scan(
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every found span replaced by the mark; overlapping spans become one."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """The text with every found span replaced by the mark; overlapping spans become one.
 
-    def step(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), s["start"] - acc["at"]))
-        out = F.when(new | (acc["at"] == 0), F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(out.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    With starts and ends sorted apart, a new stretch begins at start i where the i-th end lies at
+    or before it: all spans that began earlier are over. The text is cut into characters once.
+    """
+    bound = F.array(
+        F.struct(
+            F.split(text, "").alias("c"),
+            F.transform(findings, lambda s: s["start"]).alias("s"),
+            F.array_sort(F.transform(findings, lambda s: s["end"])).alias("e"),
+        )
+    )
 
-    done = F.aggregate(findings, start, step)
-    tail = F.substring(text, done["at"] + 1, F.length(text))
-    return F.when(F.size(findings) > 0, F.concat(done["out"], tail)).otherwise(text)
+    def cut(v: Column) -> Column:
+        end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(v["e"], i - 1))
+        new = F.filter(F.sequence(F.lit(0), F.size(v["s"]) - 1), lambda i: end_before(i) <= F.get(v["s"], i))
+        piece = lambda i: F.array_join(F.slice(v["c"], end_before(i) + 1, F.get(v["s"], i) - end_before(i)), "")
+        last = F.element_at(v["e"], -1)
+        tail = F.array_join(F.slice(v["c"], last + 1, F.greatest(F.size(v["c"]) - last, F.lit(0))), "")
+        return F.array_join(F.concat(F.transform(new, piece), F.array(tail)), mark)
+
+    return F.when(F.size(findings) > 0, F.element_at(F.transform(bound, cut), 1)).otherwise(text)
 
 
 def _listed(findings: Column) -> Column:
@@ -180,33 +186,30 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _spans_sql(kind: str, nth: int, pattern: str, keep: str, text: str = "t") -> str:
-    """DuckDB: list of (start, nth, end, kind) of a pattern's matches that fulfil ``keep`` (of m)."""
-    p = pattern.replace("'", "''")
-    hits, gaps = f"regexp_extract_all({text}, '{p}')", f"string_split_regex({text}, '{p}')"
-    end = f"list_sum(list_transform(({gaps})[1:i], lambda g: length(g))) + list_sum(list_transform(({hits})[1:i], lambda g: length(g)))"
-    return f"""list_transform(list_filter(range(1, len({hits}) + 1), lambda i: (lambda_ok(({hits})[i]))),
-      lambda i: {{'s': ({end} - length(({hits})[i]))::BIGINT, 'n': {nth}, 'e': ({end})::BIGINT, 'k': '{kind}'}})""".replace(
-        f"(lambda_ok(({hits})[i]))", keep.replace("{m}", f"({hits})[i]")
-    )
-
-
 def _oracle() -> str:
+    """Each regular expression runs once a text; spans are running sums over unnested matches."""
     names = r"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
     assign = names + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-    group = "length(regexp_extract({m}, '" + assign.replace("'", "''") + "', 2)) >= 6"
-    rules = [("assign", assign, group), ("access", "AKIA[A-Z0-9]+", "length({m}) >= 20"), ("hex", "[0-9a-f]+", "length({m}) >= 24")]
-    rules += [(r.kind, r.pattern, "length({m}) >= 0") for r in EXTRA]
-    lists = ", ".join(f"{_spans_sql(k, i, p, ok)} AS f_{k}" for i, (k, p, ok) in enumerate(rules))
-    joined = "array_to_string(list_transform(list_sort({0}), lambda x: x.k || ':' || x.s || ':' || x.e), ',')"
-    base = "f_assign || f_access || f_hex"
-    every = " || ".join(f"f_{k}" for k, _, _ in rules)
+    q = lambda p: p.replace("'", "''")
+    rules = [("assign", assign, f"length(regexp_extract(hit, '{q(assign)}', 2)) >= 6"), ("access", "AKIA[A-Z0-9]+", "length(hit) >= 20")]
+    rules += [("hex", "[0-9a-f]+", "length(hit) >= 24")] + [(r.kind, r.pattern, "true") for r in EXTRA]
+    lists = "\n  UNION ALL ".join(
+        f"SELECT r, '{k}' AS k, {i} AS n, regexp_extract_all(t, '{q(p)}') AS h, string_split_regex(t, '{q(p)}') AS g FROM d WHERE regexp_matches(t, '{q(p)}')"
+        for i, (k, p, _) in enumerate(rules)
+    )
+    ok = "CASE n " + " ".join(f"WHEN {i} THEN {c}" for i, (_, _, c) in enumerate(rules)) + " END"
+    joined = "coalesce(string_agg(k || ':' || s || ':' || e, ',' ORDER BY s, n){}, '')"
+    base = len(BASE)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-f AS (SELECT doc_id, {lists} FROM d)
-SELECT doc_id, len(f_assign)::BIGINT AS n_assign, len(f_access)::BIGINT AS n_access, len(f_hex)::BIGINT AS n_hex,
-  sha256({joined.format(base)}) AS base_sha256, {joined.format(every)} AS spans
-FROM f
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+x AS ({lists}),
+u AS (SELECT r, k, n, unnest(h) AS hit, unnest(g[1:len(h)]) AS gap, unnest(range(len(h))) AS i FROM x),
+p AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY r, n ORDER BY i) AS e FROM u),
+f AS (SELECT r, k, n, (e - length(hit))::BIGINT AS s, e::BIGINT AS e FROM p WHERE {ok})
+SELECT doc_id, count(*) FILTER (WHERE n = 0)::BIGINT AS n_assign, count(*) FILTER (WHERE n = 1)::BIGINT AS n_access,
+  count(*) FILTER (WHERE n = 2)::BIGINT AS n_hex, sha256({joined.format(f" FILTER (WHERE n < {base})")}) AS base_sha256,
+  {joined.format(" FILTER (WHERE n IS NOT NULL)")} AS spans
+FROM d LEFT JOIN f USING (r) GROUP BY r, doc_id
 """
 
 
