@@ -284,18 +284,29 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def in_blocks(members: DataFrame, keys: list[str], node: str, chunk: int) -> DataFrame:
+def in_blocks(members: DataFrame, keys: list[str], node: str, chunk: int, weight: Column | None = None, heavy: int = 0, salts: int = 1) -> DataFrame:
     """Adds ``bi`` and ``bj``: group members are dealt to chunks of about ``chunk`` rows by a hash of
     ``node``, and every pair of chunks of a group (bi <= bj) is a block of its own, so that all pairs
-    of a group meet in blocks of bounded size however large the group. Groups of one row go."""
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter("_size > 1")
+    of a group meet in blocks of bounded size however large the group. Groups of one row go.
+
+    With ``weight`` a chunk also holds about ``heavy`` of it at most (but for a row that weighs more
+    by itself). Members meet their group's size in ``salts`` parts, so a large group is not one key.
+    """
+    total = F.lit(0) if weight is None else F.sum(weight)
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"), total.alias("_weight")).filter("_size > 1")
+    chunks = F.ceil(F.col("_size") / chunk) if weight is None else F.greatest(F.ceil(F.col("_size") / chunk), F.ceil(F.col("_weight") / heavy))
     names = {k: fresh(k) for k in keys}
-    sizes = sizes.withColumnsRenamed(names)
-    out = members.join(sizes, [F.col(k) == F.col(n) for k, n in names.items()]).drop(*names.values())
-    out = out.withColumn("_k", F.ceil(F.col("_size") / chunk).cast("int")).withColumn("_c", F.pmod(F.xxhash64(node), F.col("_k")).cast("int"))
+    part = fresh("part")
+    sizes = sizes.select(*keys, chunks.cast("int").alias("_k")).withColumnsRenamed(names)
+    on = [F.col(k) == F.col(n) for k, n in names.items()]
+    if salts > 1:
+        sizes = sizes.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        on.append(F.pmod(F.xxhash64(F.lit(7), node), F.lit(salts)).cast("int") == F.col(part))
+    out = members.join(sizes, on).drop(*names.values(), part)
+    out = out.withColumn("_c", F.pmod(F.xxhash64(node), F.col("_k")).cast("int"))
     out = out.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     out = out.withColumn("bi", F.least("_c", "_o")).withColumn("bj", F.greatest("_c", "_o")).withColumn("own", F.col("_c"))
-    return out.drop("_size", "_k", "_c", "_o")
+    return out.drop("_k", "_c", "_o")
 
 
 class Forest:
