@@ -9,7 +9,10 @@
    source in its proportion, to within a few slots. Slots are ranked per source.
 3. Blocks. Each source's documents are put in a pseudo-random order (md5 of the id), joined to
    one stream of words, and cut into blocks of equal size. Rank r of a source takes block
-   ``r mod n_blocks``; the last rank is trimmed to the target.
+   ``r mod n_blocks``; the last rank is trimmed to the target. The points leave a source a few
+   slots over or short: over ones stay empty, short ones follow at the end.
+4. The mix is the slots in order, each with the word ranges of its block's documents; what a
+   document is taken for is the sum over the slots that hold it.
 
 Running sums are two-level (4096 cells per source, then rows inside a cell), so a source with a
 third of all documents is dealt over thousands of small windows.
@@ -92,82 +95,96 @@ def running(df: DataFrame, group: list[str], cell: str, order: list[Column], val
     return joined.withColumn(out, total).drop(offset, v)
 
 
-def mix(
+def plan(
     docs: DataFrame,
     weights: Sequence[int] = (3, 1, 2),
     budget: float = 1.5,
     max_epochs: int = 2,
     block: int = BLOCK_WORDS,
     size: Column | None = None,
-) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken.
-
-    ``taken`` counts the words of the document that the mix takes, repeats counted, 0 to
-    ``max_epochs`` x size; per source the sum is the target rounded to whole words. Null text
-    has size 0; a null source is a source of its own, last in order. The order inside a source
-    is the md5 of the id (null: empty text), ties by size, so repeated rows are interchangeable
-    and reruns agree. Without words nothing is taken. Further columns are ignored.
-    """
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, quotas, stream, mix): ``documents`` has doc_id, source, size and key; ``quotas`` has the targets of
+    the sources; ``stream`` has the documents with their ``start`` in their source's stream of words; ``mix`` has a row per slot and document in it: slot, source, start (of the document in its source's
+    stream, which tells rows of one id apart), doc_id, size, first_word, n_words."""
     size = word_count(F.col("text")) if size is None else size
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     base = stage(docs.select("doc_id", "source", size.alias("size"), key.alias("key")), "mix-docs")
     sizes = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     quotas = targets(sizes, weights, budget, max_epochs)
-    quotas = quotas.withColumn("words", F.round("target").cast("long"))
-    quotas = quotas.withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    quotas = quotas.withColumn("words", F.round("target").cast("long")).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     # slots a source needs: whole rounds over its blocks, and what is left after them
-    quotas = quotas.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0))
-    quotas = quotas.withColumn(
-        "quota", F.col("rounds") * F.col("n_blocks") + F.ceil((F.col("words") - F.col("rounds") * F.col("source_size")) / block)
-    )
+    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0)
+    left = F.ceil((F.col("words") - F.col("rounds") * F.col("source_size")) / block)
+    quotas = quotas.withColumn("rounds", rounds).withColumn("quota", F.col("rounds") * F.col("n_blocks") + left)
     quotas = stage(quotas, "mix-quotas")
     n_slots = quotas.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
 
-    ranked = schedule(quotas.select("source", F.col("quota").cast("double").alias("target")), n_slots) if n_slots else None
-    if ranked is None:
-        taken = base.select("doc_id", "size", "source", F.lit(0).cast("long").alias("taken"))
-    else:
-        ranked = running(
-            ranked.withColumn("cell", F.floor(F.col("slot") * CELLS / F.lit(n_slots))), ["source"], "cell", [F.col("slot")], F.lit(1), "rank"
-        )
-        # the points leave a source a few slots short or over: over is cut, short is added at the end
-        q = quotas.select(F.col("source").alias("q_source"), "source_size", "words", "n_blocks", "quota")
-        got = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
-        short = q.join(got, F.col("q_source").eqNullSafe(F.col("source")), "left").select(
-            F.col("q_source").alias("source"), "quota", F.coalesce("got", F.lit(0)).alias("got")
-        ).filter("got < quota").select("source", F.explode(F.sequence("got", F.col("quota") - 1)).alias("rank"))
-        ranked = ranked.select("source", F.col("rank").cast("long").alias("rank")).unionByName(short.select("source", F.col("rank").cast("long").alias("rank")))
-        ranked = ranked.join(q, F.col("source").eqNullSafe(F.col("q_source"))).filter("rank < quota")
-        ranked = ranked.withColumn("blk", F.col("rank") % F.col("n_blocks"))
-        at = F.floor(F.col("rank") / F.col("n_blocks")) * F.col("source_size") + F.col("blk") * block
-        takes = ranked.withColumn("words_here", F.least(F.lit(block), F.col("source_size") - F.col("blk") * block, F.col("words") - at))
-        # equal turns of a block, whole or trimmed, are counted before they meet its documents
-        takes = takes.groupBy("source", "blk", "words_here").agg(F.count(F.lit(1)).alias("turns"))
-
-        stream = running(base.withColumn("cell", spread(F.col("key"), CELLS)), ["source"], "cell", [F.col("key"), F.col("size"), F.col("doc_id")], F.col("size"), "start")
-        pieces = stream.filter("size > 0").withColumn(
-            "blk", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
-        )
-        t = takes.withColumnsRenamed({"source": "t_source", "blk": "t_blk"})
-        hit = pieces.join(t, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("blk") == F.col("t_blk")))
-        lo = F.greatest(F.col("start"), F.col("blk") * block)
-        hi = F.least(F.col("start") + F.col("size"), F.col("blk") * block + F.col("words_here"))
-        hit = hit.withColumn("got", F.greatest(F.lit(0), hi - lo) * F.col("turns"))
-        # documents of one id and key are told apart by where they start in the stream
-        got = hit.groupBy("source", "start", "doc_id", "size").agg(F.sum("got").cast("long").alias("taken"))
-        empty = base.filter("size = 0").select("doc_id", "size", "source", F.lit(0).cast("long").alias("taken"))
-        missed = pieces.select("source", "start", "doc_id", "size", F.lit(0).cast("long").alias("taken")).distinct()
-        taken = got.unionByName(missed).groupBy("source", "start", "doc_id", "size").agg(F.max("taken").alias("taken"))
-        taken = taken.select("doc_id", "size", "source", "taken").unionByName(empty)
+    wanted = quotas.filter("quota > 0")
+    ranked = schedule(wanted.select("source", F.col("quota").cast("double").alias("target")), n_slots)
+    cell = F.floor(F.col("slot") * CELLS / F.lit(max(1, n_slots)))
+    ranked = running(ranked.withColumn("cell", cell), ["source"], "cell", [F.col("slot")], F.lit(1), "rank")
+    q = wanted.select(F.col("source").alias("q_source"), "source_size", "words", "n_blocks", "quota")
+    got = ranked.groupBy("source").agg(F.count(F.lit(1)).alias("got"))
+    short = q.join(got, F.col("q_source").eqNullSafe(F.col("source")), "left").select(
+        F.col("q_source").alias("source"), "quota", F.coalesce("got", F.lit(0)).alias("got")
+    ).filter("got < quota")
+    before = F.sum(F.col("quota") - F.col("got")).over(Window.partitionBy().orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1))
+    short = short.withColumn("first", F.lit(n_slots) + F.coalesce(before, F.lit(0)) - F.col("got"))
+    short = short.select("source", "first", F.explode(F.sequence("got", F.col("quota") - 1)).alias("rank"))
+    short = short.select((F.col("first") + F.col("rank")).cast("long").alias("slot"), "source", F.col("rank").cast("long").alias("rank"))
+    ranked = ranked.select("slot", "source", F.col("rank").cast("long").alias("rank")).unionByName(short)
+    ranked = ranked.join(q, F.col("source").eqNullSafe(F.col("q_source"))).filter("rank < quota")
+    ranked = ranked.withColumn("t_blk", F.col("rank") % F.col("n_blocks"))
+    at = F.floor(F.col("rank") / F.col("n_blocks")) * F.col("source_size") + F.col("t_blk") * block
+    words_here = F.least(F.lit(block), F.col("source_size") - F.col("t_blk") * block, F.col("words") - at)
+    takes = ranked.select("slot", F.col("source").alias("t_source"), "t_blk", words_here.alias("words_here"))
+
+    stream = running(base.withColumn("cell", spread(F.col("key"), CELLS)), ["source"], "cell", [F.col("key"), F.col("size"), F.col("doc_id")], F.col("size"), "start")
+    pieces = stream.filter("size > 0").withColumn(
+        "blk", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block)))
+    )
+    hit = pieces.join(takes, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("blk") == F.col("t_blk")))
+    lo = F.greatest(F.col("start"), F.col("blk") * block)
+    hi = F.least(F.col("start") + F.col("size"), F.col("blk") * block + F.col("words_here"))
+    mixed = hit.filter(hi > lo).select("slot", "source", "start", "doc_id", "size", (lo - F.col("start")).alias("first_word"), (hi - lo).alias("n_words"))
+    return base, quotas, stream, mixed
+
+
+def mix(
+    docs: DataFrame,
+    weights: Sequence[int] = (3, 1, 2),
+    budget: float = 1.5,
+    max_epochs: int = 2,
+    block: int = BLOCK_WORDS,
+    size: Column | None = None,
+) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, taken, first_slot, n_slots.
+
+    ``taken`` counts the words of the document that the slots of the mix hold, repeats counted, 0
+    to ``max_epochs`` x size; per source the sum is the target rounded to whole words. Documents
+    in no slot have a null ``first_slot``. Null text has size 0; a null source is a source of its
+    own, last in order. The order inside a source is the md5 of the id (null: empty text), ties
+    by size, so repeated rows are interchangeable and reruns agree. Very long texts lie in many
+    blocks. Without words nothing is taken. Further columns are ignored.
+    """
+    base, quotas, stream, mixed = plan(docs, weights, budget, max_epochs, block, size)
+    # documents of one id and key are told apart by where they start in the stream
+    place = ["source", "start", "doc_id", "size"]
+    zero, nowhere = F.lit(0).cast("long"), F.lit(None).cast("long")
+    got = mixed.groupBy(*place).agg(F.sum("n_words").cast("long").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
+    left_out = [zero.alias("taken"), nowhere.alias("first_slot"), zero.alias("n_slots")]
+    every = got.unionByName(stream.filter("size > 0").select(*place, *left_out))
+    every = every.groupBy(*place).agg(F.max("taken").alias("taken"), F.max("first_slot").alias("first_slot"), F.max("n_slots").alias("n_slots")).drop("start")
+    every = every.unionByName(base.filter("size = 0").select("source", "doc_id", "size", *left_out))
     q = quotas.select(F.col("source").alias("q_source"), "source_size", "target")
-    return taken.join(q, F.col("source").eqNullSafe(F.col("q_source"))).select(
-        "doc_id", "size", "source", "source_size", "target", "taken"
+    return every.join(q, F.col("source").eqNullSafe(F.col("q_source"))).select(
+        "doc_id", "size", "source", "source_size", "target", "taken", "first_slot", "n_slots"
     )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 OP3_SQL = r"""
@@ -187,11 +204,37 @@ l AS (
          / sum(w) OVER (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 f AS (SELECT arg_min(level, nth) AS level FROM l WHERE level * w <= cap),
 t AS (SELECT source, source_size, least(cap, coalesce(f.level * w, cap)) AS target FROM r, f),
+w AS (SELECT *, round(target)::BIGINT AS words, ceil(source_size / 256)::BIGINT AS n_blocks FROM t),
+qt AS (
+  SELECT *, (words // source_size) * n_blocks + ceil((words - (words // source_size) * source_size) / 256)::BIGINT AS quota
+  FROM w WHERE source_size > 0),
+iv AS (
+  SELECT *, sum(quota::DOUBLE) OVER (ORDER BY source ASC NULLS LAST) / sum(quota::DOUBLE) OVER () AS hi,
+         row_number() OVER (ORDER BY source DESC NULLS FIRST) = 1 AS top, sum(quota) OVER () AS total FROM qt WHERE quota > 0),
+sl AS (
+  SELECT i AS slot, ((i % 2147483648) * 1327217885 % 2147483648) / 2147483648.0::DOUBLE AS point
+  FROM range((SELECT coalesce(max(total), 0) FROM iv)::BIGINT) AS x(i)),
+hit AS (
+  SELECT slot, source, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM (SELECT *, coalesce(lag(hi) OVER (ORDER BY source ASC NULLS LAST), 0.0) AS lo FROM iv)
+  JOIN sl ON point >= lo AND point < CASE WHEN top THEN 2.0 ELSE hi END),
+sh AS (
+  SELECT iv.source, total, unnest(range(coalesce(got, 0), quota::BIGINT)) AS rank
+  FROM iv LEFT JOIN (SELECT source, count(*) AS got FROM hit GROUP BY source) c ON iv.source IS NOT DISTINCT FROM c.source),
+rk AS (
+  SELECT slot, source, rank FROM hit
+  UNION ALL SELECT (total + row_number() OVER (ORDER BY source ASC NULLS LAST, rank) - 1)::BIGINT, source, rank FROM sh),
+bl AS (
+  SELECT slot, rk.source, rank % n_blocks AS blk,
+         least(256, source_size - (rank % n_blocks) * 256, words - (rank // n_blocks) * source_size - (rank % n_blocks) * 256) AS here
+  FROM rk JOIN iv ON rk.source IS NOT DISTINCT FROM iv.source WHERE rank < quota),
 o AS (
-  SELECT d.doc_id, d.size, d.source, t.source_size, t.target,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(a + size, round(target)) - a) + greatest(0, least(a + size, round(target) - source_size) - a))::BIGINT AS taken
-FROM o
+  SELECT *, row_number() OVER () AS r, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM d),
+pc AS (SELECT *, unnest(range((a // 256)::BIGINT, ((a + size - 1) // 256)::BIGINT + 1)) AS blk FROM o WHERE size > 0),
+g AS (
+  SELECT r, sum(n)::BIGINT AS taken, min(slot) AS first_slot, count(*) AS n_slots
+  FROM (SELECT r, slot, least(a + size, pc.blk * 256 + here) - greatest(a, pc.blk * 256) AS n
+        FROM pc JOIN bl ON pc.source IS NOT DISTINCT FROM bl.source AND pc.blk = bl.blk) WHERE n > 0 GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM o JOIN t ON o.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (r)
 """

@@ -57,7 +57,10 @@ def bounds(q: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     error = qe[:, None] * (cn + ce)[None, :] + qn[:, None] * ce[None, :]
     size = (qn**2)[:, None] + (cn**2)[None, :]
     slack = 2 * error + 1e-9 * size
-    return size - 2 * product - slack, size - 2 * product + slack
+    low, high = size - 2 * product - slack, size - 2 * product + slack
+    # where squares leave the range of doubles a bound says nothing, and the pair is recomputed
+    lost = ~(np.isfinite(low) & np.isfinite(high))
+    return np.where(lost, -np.inf, low), np.where(lost, np.inf, high)
 
 
 def euclidean(q: np.ndarray, c: np.ndarray) -> np.ndarray:

@@ -25,13 +25,13 @@ from pyspark.sql import types as T
 from tillstar.llm.common import _IS_WORD, _LOWER, add_columns, mix, stage, table, text_slices, word_hashes
 
 SAMPLE = 20_000
-N_FEATURES = 256
+N_FEATURES = 512
 FOLDS = 5
 GRAM = 5
 BITS = 18
 RIDGE = 0.3
 #: chi-square below which a feature may be chance, with so many buckets
-MIN_CHI = 40.0
+MIN_CHI = 20.0
 #: category -> SQL condition over the labels table, in chain order
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"))
 
