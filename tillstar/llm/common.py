@@ -249,11 +249,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 # ---- groups and blocks ------------------------------------------------------------------------
 
 
-def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: T.StructType | str, tasks: int | None = None) -> DataFrame:
     """Rows of equal ``keys`` come to one task, sorted, and ``work`` gets each group as a table.
 
     For many small groups this is far cheaper than one Python call per group through Spark.
-    Groups must be of bounded size; ``in_blocks`` sees to that.
+    Groups must be of bounded size; ``in_blocks`` sees to that. ``tasks`` is how many tasks share
+    them, where the session's count of shuffle partitions does not follow the data.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +282,8 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
         if held:
             yield from work(pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    dealt = df.repartition(*keys) if tasks is None else df.repartition(tasks, *keys)
+    return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def in_blocks(members: DataFrame, keys: list[str], node: str, chunk: int, weight: Column | None = None, heavy: int = 0, salts: int = 1) -> DataFrame:
