@@ -184,11 +184,11 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Ite
         i = j
 
 
-def packed(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, keep: list[str], text: str = "text", level: int = 5) -> DataFrame:
     """Columns ``keep`` and ``body``: the text as a Zstandard frame, which halves what a shuffle of texts writes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=5)
+        press = zstandard.ZstdCompressor(level=level)
         for batch in batches:
             body = [press.compress(b"" if not x.is_valid else x.as_buffer()) for x in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(body, pa.binary())], [*keep, "body"])
