@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import random
 import re
 
 import duckdb
@@ -530,3 +531,39 @@ def test_registered_joins_equal_brute_force(spark):
     assert sorted([tuple(r) for r in got], key=repr) == jaccard_truth(docs)
     got = registry.queries()["op2_suffix_dedup"](spark, SMALL).collect()
     assert sorted([tuple(r) for r in got], key=repr) == removal_truth(docs)
+
+
+def edit_distance(a: bytes, b: bytes) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_notices_equal_brute_force():
+    notice = licenses.Notice("all rights reserved", "arr", 3)
+    pattern, text = licenses.loose_pattern(notice), notice.text
+    rnd = random.Random(13)
+    near = [text, "all rights reservd", "al rigts reserved", "she shall rights reserved it", "all rightsreserved", "all rights re served", "reserved all", "rights", "all", "x"]
+    docs = ["all rights reservd all rights reserved", "", "x", text + " " + text + "s", "all rights reserve"]
+    docs += [" ".join(rnd.choice(near) for _ in range(rnd.randint(1, 7))) for _ in range(60)]
+    t = ("\n" + "\n".join(docs) + "\n").encode()
+    lines = np.flatnonzero(np.frombuffer(t, np.uint8) == 10)
+    got = licenses.fuzzy(t, lines, notice, pattern)
+    assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
+    for a, b, edits in got:
+        assert t[a - 1] in b" \n" and t[b] in b" \n" and b"\n" not in t[a:b] and edit_distance(t[a:b], text.encode()) == edits <= 3
+    seen = 0
+    for lo, hi in zip(lines[:-1] + 1, lines[1:]):
+        words = [m.span() for m in re.finditer(rb"[^ ]+", t[lo:hi])]
+        for i in range(len(words)):
+            for j in range(i, min(i + 5, len(words))):
+                a, b = lo + words[i][0], lo + words[j][1]
+                d = edit_distance(t[a:b], text.encode()) if abs(b - a - len(text)) <= 3 else 9
+                if d <= 3:
+                    seen += 1
+                    assert any(x < b and a < y and e <= d for x, y, e in got), t[a:b]
+    assert seen > 60
+    assert [t[a:b] for a, b, _ in got if b <= lines[1]] == [b"all rights reservd", b"all rights reserved"]

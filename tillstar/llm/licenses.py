@@ -11,6 +11,7 @@ Rows stay where they are: no shuffle, and memory is bounded by the slice (4 MB o
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -107,29 +108,56 @@ def _hits(t: bytes, piece: bytes) -> Iterator[int]:
         at = t.find(piece, at + 1)
 
 
+def loose_pattern(notice: Notice) -> regex.Pattern:
+    """Best match within the notice's edits, from the start of a word to the end of one."""
+    return regex.compile(b"(?b)(?<![^ \n])(?:%s){e<=%d}(?![^ \n])" % (regex.escape(notice.text.encode()), notice.edits))
+
+
 def fuzzy(t: bytes, lines: np.ndarray, notice: Notice, pattern: regex.Pattern) -> list[tuple[int, int, int]]:
-    """(from, to, edits) of a notice's places in ``t``; of overlapping ones the one with fewer edits, then the first."""
-    size, k = len(notice.text), notice.edits
-    windows = []
+    """(from, to, edits) of a notice's places in ``t``; of overlapping ones the one with fewer edits, then the first.
+
+    Each seed's window is searched by itself, so the work is linear in the seeds. What chosen places
+    leave of the windows is searched again, so that a place isn't lost to a better neighbour.
+    """
+    size, k = len(notice.text.encode()), notice.edits
+    windows = set()
     for offset, piece in pieces(notice):
         for at in _hits(t, piece):
             line = int(np.searchsorted(lines, at))
             lo, hi = int(lines[line - 1]) + 1, int(lines[line])
-            windows.append((max(lo, at - offset - k), min(hi, at - offset + size + k)))
-    if not windows:
-        return []
-    windows.sort()
-    merged = [list(windows[0])]
-    for lo, hi in windows[1:]:
-        if lo <= merged[-1][1] and b"\n" not in t[merged[-1][0] : hi]:
-            merged[-1][1] = max(hi, merged[-1][1])
-        else:
-            merged.append([lo, hi])
-    found = []
-    for lo, hi in merged:
-        for m in pattern.finditer(t, lo, hi, overlapped=False):
-            found.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return found
+            # one byte more, by which the end of a word is told; no place within the edits ends there
+            windows.add((max(lo, at - offset - k), min(hi, at - offset + size + k + 1)))
+    starts: list[int] = []  # of chosen places, which are disjoint
+    chosen: list[tuple[int, int, int]] = []
+    while windows:
+        found = set()
+        for lo, hi in windows:
+            m = pattern.search(t, lo, hi)
+            if m:
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        if not found:
+            break
+        for edits, a, b in sorted(found):
+            i = bisect.bisect(starts, a)
+            if (i == 0 or chosen[i - 1][1] <= a) and (i == len(starts) or b <= starts[i]):
+                starts.insert(i, a)
+                chosen.insert(i, (a, b, edits))
+        rest = set()
+        for lo, hi in windows:
+            i = max(0, bisect.bisect(starts, lo) - 1)
+            at, cut = lo, False
+            while i < len(chosen) and chosen[i][0] < hi:
+                a, b, _ = chosen[i]
+                if b > lo:
+                    cut = True
+                    if a - 1 - at >= size - k:  # up to the space before the place
+                        rest.add((at, a - 1))
+                    at = b + 1
+                i += 1
+            if cut and hi - at >= size - k:
+                rest.add((at, hi))
+        windows = rest - windows
+    return chosen
 
 
 def license_frame(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[Notice] = NOTICES) -> DataFrame:
@@ -138,7 +166,8 @@ def license_frame(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
 
     Word numbers start at 0. Null texts are empty: no words, empty lists. Input columns of these
     names are replaced, others pass through. Repeated rows are judged alike. Places of different
-    notices may overlap; of one notice they don't.
+    notices may overlap; of one notice they don't. Notices begin and end at word borders. Texts of any
+    length are searched whole.
     """
     keep = [c for c in docs.columns if c.lower() not in ("n_words", "base", "found")]
     if text not in keep:
@@ -147,7 +176,7 @@ def license_frame(docs: DataFrame, text: str = "text", phrases: Sequence[tuple[s
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         exact = [(regex.compile(rb"(?<![^ \n])" + p.encode() + rb"(?![^ \n])"), p.encode(), label) for p, label in phrases]
-        loose = [(n, regex.compile(b"(?b)(?:%s){e<=%d}" % (n.text.encode(), n.edits))) for n in notices]
+        loose = [(n, loose_pattern(n)) for n in notices]
         for batch in batches:
             for i, j, data, off in text_slices(batch, body):
                 t, starts, lines = normalise(data, off)
