@@ -174,6 +174,27 @@ def test_suffix_dedup_removes_every_copy_inside_a_document(spark, monkeypatch, h
     assert sorted([tuple(r) for r in got], key=repr) == removal_truth(rows)
 
 
+def test_suffix_dedup_boxes_give_back_keys():
+    rng = np.random.default_rng(4)
+    rows = []
+    for doc in range(5):
+        text = np.frombuffer(rng.choice(list(b"abc "), 400).astype(np.uint8).tobytes(), np.uint8)
+        value, first, last = suffix_dedup.runs_of(text, 50, 16)
+        own = suffix_dedup.own_key(suffix_dedup.gram_hashes(text, 50))
+        for v, a, b in zip(value, first, last):
+            rows.append((int(v.view(np.int64)), doc, [int(a), int(a) + 1000], text[a : b + 50].tobytes()))
+            rows.append((int(own[a].view(np.int64)), doc, [int(a)], text[a : a + 50].tobytes()))
+    batch = next(suffix_dedup.boxes(rows, [(3, 7, 60)], 4))
+    back, spans = [], []
+    for bucket, box in zip(batch["bucket"].to_pylist(), batch["box"]):
+        more, own_spans = suffix_dedup.opened(box, 50, 16)
+        assert all(k % 4 == bucket for k, *_ in more)
+        back += more
+        spans += own_spans.tolist()
+    assert sorted(back) == sorted((k, body, doc, places) for k, doc, places, body in rows)
+    assert spans == [[3, 7, 60]]
+
+
 def test_suffix_array_equals_sorting():
     rng = np.random.default_rng(1)
     for _ in range(150):
