@@ -338,10 +338,27 @@ def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((400, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    est, width = embedding_dedup.estimates(x)
-    gap = est - x @ x.T
-    off = ~np.eye(400, dtype=bool)
-    assert abs(gap[off].mean()) < 0.003 and (np.abs(gap[off]) <= width[off]).mean() > 0.9999
+    i, j = np.nonzero(~np.eye(400, dtype=bool))
+    est, width = embedding_dedup.estimates(x, *embedding_dedup.codes(x), i, j)
+    gap = est - (x @ x.T)[i, j]
+    assert abs(gap.mean()) < 0.003 and (np.abs(gap) <= width).mean() > 0.9999
+
+
+def test_pairs_and_roots_of_groups():
+    rng = np.random.default_rng(9)
+    group = np.sort(rng.integers(0, 12, 40))
+    i, j = embedding_dedup.pairs_of(group)
+    assert sorted(zip(i, j)) == [(a, b) for a in range(40) for b in range(a + 1, 40) if group[a] == group[b]]
+    for n in (1, 2, 40):
+        for p in (0.0, 0.02, 0.05, 0.5):
+            i, j = np.nonzero(np.triu(rng.random((n, n)) < p, 1))
+            want = np.arange(n)
+            for _ in range(n):
+                for a, b in zip(i, j):
+                    want[a] = want[b] = min(want[a], want[b])
+            assert (embedding_dedup.roots(n, i, j) == want).all()
+    path = rng.permutation(50)
+    assert (embedding_dedup.roots(50, path[1:], path[:-1]) == 0).all()
 
 
 def test_url_filter_on_awkward_urls(spark):

@@ -286,6 +286,38 @@ def map_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table], Iterat
     return dealt.sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def map_many_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = 2048) -> DataFrame:
+    """As ``map_groups``, but ``work`` gets tables of many whole groups, of about ``rows`` rows, and each
+    row's group number: for groups so small that a call for each costs more than its rows."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[0] = True
+        for k in keys:
+            c = t[k].combine_chunks()
+            new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        return new
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for lo in range(0, batch.num_rows, rows):
+                held.append(batch.slice(lo, rows))
+                if sum(b.num_rows for b in held) <= rows:
+                    continue
+                t = pa.Table.from_batches(held)
+                new = starts(t)
+                cut = int(np.flatnonzero(new)[-1])  # the last group may go on
+                if cut:
+                    yield from work(t.slice(0, cut), np.cumsum(new[:cut]) - 1)
+                    held = t.slice(cut).to_batches()
+        if held:
+            t = pa.Table.from_batches(held)
+            yield from work(t, np.cumsum(starts(t)) - 1)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def in_blocks(members: DataFrame, keys: list[str], node: str, chunk: int, weight: Column | None = None, heavy: int = 0, salts: int = 1) -> DataFrame:
     """Adds ``bi`` and ``bj``: group members are dealt to chunks of about ``chunk`` rows by a hash of
     ``node``, and every pair of chunks of a group (bi <= bj) is a block of its own, so that all pairs

@@ -1,7 +1,7 @@
 """Embedding near-duplicates by randomised-rotation binary codes.
 
-A vector is turned by a random rotation and keeps one sign bit a component. With the stored
-correction factor <code, vector> the code's product with another turned vector, divided by that
+A vector is turned by a random rotation and keeps one sign bit a component. Packed bits and a
+correction factor <code, vector> are stored once per vector. The code's product with another turned vector, divided by that
 factor, is an unbiased estimate of the cosine, and its spread is known, so each pair gets a
 confidence bound. Only pairs whose upper bound reaches the threshold are recomputed in double
 precision on the original vectors.
@@ -10,21 +10,25 @@ Candidates come from the leading bits of further rotations' codes: ``tables`` ke
 bits; vectors with one equal key and label are compared. Bits grow with the logarithm of the
 row count, and the number of tables follows from the wanted miss probability of a pair that
 lies exactly on the threshold. A pair that meets in several buckets is judged in the first.
-Buckets are cut into blocks of bounded size, and a block returns links as a spanning forest and
-counts, so neither memory nor output grows with the square of a group.
+Buckets are cut into blocks of bounded size, many small blocks are judged together, and a block
+returns links as a spanning forest and counts, so neither memory nor output grows with the square
+of a group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tillstar.llm.common import Forest, components, in_blocks, map_groups, stage, table
+from tillstar.llm.common import components, in_blocks, map_many_groups, stage, table
 from tillstar.llm.neighbours import matrix, usable
 
 THRESHOLD = 0.98
@@ -34,6 +38,7 @@ CHUNK = 128
 SIGMAS = 5.0
 
 
+@lru_cache(maxsize=64)
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
@@ -57,30 +62,62 @@ def bucket_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs << np.arange(bits, dtype=np.int64)).sum(axis=2)
 
 
-def estimates(x: np.ndarray, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray]:
-    """(estimated cosine of code i and vector j, half width of its confidence interval) of unit rows."""
-    dim = x.shape[1]
-    turned = x @ rotation(dim, 0).T
-    code = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = (code * turned).sum(axis=1)
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(packed sign bits, correction factors) of unit rows."""
+    turned = unit @ rotation(unit.shape[1], 0).T
+    return np.packbits(turned >= 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
+
+
+def estimates(unit: np.ndarray, packed: np.ndarray, factor: np.ndarray, i: np.ndarray, j: np.ndarray, sigmas: float = SIGMAS) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosine of code i and vector j, half width of its confidence interval) of pairs of unit rows."""
+    dim = unit.shape[1]
+    code = (np.unpackbits(packed, axis=1, count=dim) * 2.0 - 1) / math.sqrt(dim)
+    back = code @ rotation(dim, 0) / factor[:, None]  # turned back once, instead of turning the vectors
     spread = sigmas * np.sqrt(np.maximum(0, 1 - factor**2)) / (factor * math.sqrt(max(1, dim - 1)))
-    return (code @ turned.T) / factor[:, None], np.broadcast_to(spread[:, None], (len(x), len(x)))
+    return (back[i] * unit[j]).sum(axis=1), spread[i]
 
 
-def links_of(x: np.ndarray, threshold: float) -> np.ndarray:
-    """Boolean matrix of the pairs with cosine >= threshold, by estimate, bound and exact check."""
-    unit = x / np.sqrt((x**2).sum(axis=1))[:, None]
-    est, width = estimates(unit)
-    maybe = est + width >= threshold
-    maybe &= maybe.T  # both codes' bounds must allow the pair
-    a, b = np.nonzero(np.triu(maybe, 1))
-    out = np.zeros(maybe.shape, bool)
+def normed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows and norms."""
     norm = np.sqrt((x**2).sum(axis=1))
-    for lo in range(0, len(a), 1 << 16):
-        i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-        ok = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j]) >= threshold
-        out[i[ok], j[ok]] = True
-    return out | out.T
+    return x / norm[:, None], norm
+
+
+def pairs_of(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j of rows with one group number; rows come by group."""
+    at = np.arange(len(group))
+    left = np.searchsorted(group, group, side="right") - at - 1  # rows of the group after this one
+    i = np.repeat(at, left)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(left) - left, left)
+
+
+def linked(x: np.ndarray, packed: np.ndarray, factor: np.ndarray, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs have a cosine >= threshold, by estimate, bound and exact check."""
+    unit, norm = normed(x)
+    out = np.zeros(len(i), bool)
+    step = max(1, (1 << 22) // x.shape[1])
+    for lo in range(0, len(i), step):
+        a, b = i[lo : lo + step], j[lo : lo + step]
+        maybe = np.ones(len(a), bool)
+        for est, width in (estimates(unit, packed, factor, a, b), estimates(unit, packed, factor, b, a)):
+            maybe &= est + width >= threshold  # both codes' bounds must allow the pair
+        a, b = a[maybe], b[maybe]
+        out[lo + np.flatnonzero(maybe)] = (x[a] * x[b]).sum(axis=1) / (norm[a] * norm[b]) >= threshold
+    return out
+
+
+def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest of ``n`` rows reachable from each by links between i and j."""
+    least = np.arange(n)
+    while True:
+        low = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS, chunk: int = CHUNK) -> DataFrame:
@@ -93,61 +130,67 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, miss: floa
     compared once; each member counts as a link of the others. Rows that repeat a vec_id are
     rows of their own with one component. Other columns are ignored.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    # vectors of floats travel as floats; all arithmetic is done in doubles
+    kind = "array<float>" if vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"), "label")
     part = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & usable(F.col("embedding")))
     classes = stage(part.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "emb-classes")
     bits, tables = parameters(classes.count(), threshold, miss)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 2048):
                 piece = batch.slice(lo, 2048)
-                col = piece.column("embedding")
-                keys = np.zeros((len(piece), tables), np.int64)
-                dims = np.array([len(v) for v in col])
+                dims = pc.list_value_length(piece.column("embedding")).to_numpy()
                 for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    keys[at] = bucket_keys(matrix(pa.chunked_array([col.take(pa.array(at))])), bits, tables)
-                nested = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([piece.column("label"), piece.column("rep"), nested], ["label", "rep", "keys"])
+                    part = piece.take(pa.array(np.flatnonzero(dims == dim)))
+                    x = matrix(pa.chunked_array([part.column("embedding")]))
+                    packed, factor = codes(normed(x)[0])
+                    keys = bucket_keys(x, bits, tables)
+                    nested = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part.column(c) for c in kept], pa.array([c.tobytes() for c in packed], pa.binary()), pa.array(factor), nested],
+                        [*kept, "code", "factor", "keys"],
+                    )
 
     types = {f.name: f.dataType.simpleString() for f in classes.schema}
-    keyed_rows = classes.select("label", "rep", "embedding").mapInArrow(keyed, f"label {types['label']}, rep {types['rep']}, keys array<long>")
-    where = keyed_rows.select("label", "rep", "keys", F.posexplode("keys").alias("t", "key"))
-    where = stage(where.withColumn("label", F.col("label")), "emb-keys")
+    kept = ["label", "rep", "copies", "embedding"]
+    full = classes.select(*kept).mapInArrow(coded, ", ".join(f"{c} {types[c]}" for c in kept) + ", code binary, factor double, keys array<long>")
+    full = stage(full, "emb-codes")
+    where = full.select("label", "rep", "keys", F.posexplode("keys").alias("t", "key"))
+    # a pair is judged under its first equal key, so a row needs the keys before its own
+    where = where.withColumn("keys", F.slice("keys", F.lit(1), F.col("t")))
     placed = in_blocks(where, ["label", "t", "key"], "rep", chunk)
-    full = classes.withColumnsRenamed({"rep": "c_rep", "label": "c_label"})
+    full = full.drop("keys").withColumnsRenamed({"rep": "c_rep", "label": "c_label"})
     placed = placed.join(full, (F.col("rep") == F.col("c_rep")) & (F.col("label") == F.col("c_label"))).drop("c_rep", "c_label")
 
-    def block(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        t, bi, bj = group["t"][0].as_py(), group["bi"][0].as_py(), group["bj"][0].as_py()
-        dims = np.array([len(v) for v in group["embedding"]])
-        for dim in np.unique(dims):
-            part = group.take(pa.array(np.flatnonzero(dims == dim)))
-            if len(part) < 2:
-                continue
-            rep, copies, own = part["rep"].to_numpy(), part["copies"].to_numpy(), part["own"].to_numpy()
-            keys = np.array(part["keys"].to_pylist()).reshape(len(part), -1)
-            hit = links_of(matrix(part["embedding"]), threshold)
-            for e in range(t):  # pairs of an earlier bucket are judged there
-                hit &= keys[:, e][:, None] != keys[:, e][None, :]
-            if bi != bj:  # pairs inside a chunk belong to the chunk's own block
-                hit &= own[:, None] != own[None, :]
-            if not hit.any():
+    def judge(t: pa.Table, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = t.append_column("group", pa.array(group))
+        t = t.take(pc.sort_indices(t, sort_keys=[("group", "ascending"), ("rep", "ascending")]))
+        dims, turn = pc.list_value_length(t["embedding"]).to_numpy(), t["t"].to_numpy()
+        for dim, e in sorted(set(zip(dims.tolist(), turn.tolist()))):
+            part = t.take(pa.array(np.flatnonzero((dims == dim) & (turn == e)))).combine_chunks()
+            i, j = pairs_of(part["group"].to_numpy())
+            own, inner = part["own"].to_numpy(), (part["bi"].to_numpy() == part["bj"].to_numpy())
+            fit = inner[i] | (own[i] != own[j])  # pairs inside a chunk belong to the chunk's own block
+            keys = pc.list_flatten(part["keys"]).to_numpy().reshape(len(part), e)
+            for k in range(e):  # pairs of an earlier bucket are judged there
+                fit &= keys[i, k] != keys[j, k]
+            i, j = i[fit], j[fit]
+            if not len(i):
                 continue
-            links = hit @ copies
-            order = np.argsort(rep, kind="stable")
-            forest = Forest(len(rep))
-            back = np.empty_like(order)
-            back[order] = np.arange(len(order))
-            for x, y in zip(*np.nonzero(np.triu(hit, 1))):
-                forest.join(int(back[x]), int(back[y]))
-            at = np.flatnonzero(links)
-            root = rep[order[[forest.find(int(back[x])) for x in at]]]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[at]), pa.array(root), pa.array(links[at].astype(np.int64))], ["a", "b", "n"])
+            packed = np.frombuffer(b"".join(part["code"].to_pylist()), np.uint8).reshape(len(part), -1)
+            hit = linked(matrix(part["embedding"]), packed, part["factor"].to_numpy(), i, j, threshold)
+            i, j = i[hit], j[hit]
+            copies, links = part["copies"].to_numpy(), np.zeros(len(part), np.int64)
+            np.add.at(links, i, copies[j])
+            np.add.at(links, j, copies[i])
+            at = pa.array(np.flatnonzero(links))
+            root = pa.array(roots(len(part), i, j)[at])
+            yield pa.RecordBatch.from_arrays([part["rep"].take(at).combine_chunks(), part["rep"].take(root).combine_chunks(), pa.array(links[at])], ["a", "b", "n"])
 
     kind = types["rep"]
-    found = stage(map_groups(placed, ["label", "t", "key", "bi", "bj"], block, f"a {kind}, b {kind}, n long"), "emb-links")
+    found = stage(map_many_groups(placed, ["label", "t", "key", "bi", "bj"], judge, f"a {kind}, b {kind}, n long"), "emb-links")
     comp = components(found)
     count = found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "n_rep")
     classes = (
