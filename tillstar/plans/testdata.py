@@ -81,43 +81,45 @@ def dirty_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     total file order (copy, orderkey, linenumber, partkey, suppkey, shipdate,
     extendedprice).  Rows of orders with ``l_orderkey % 50 = 0`` appear twice.
     """
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate",
+    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)
+    zero_price = (F.col("l_orderkey") + F.col("l_partkey")) % 101 == 0
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_extendedprice", "l_quantity",
+        returned.alias("_returned"),
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
 
-    base = (
-        li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    invoices = (
+        orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .select("o_orderkey", "o_custkey", "o_orderdate", "n_name")
     )
-    returned = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1)
-    zero_price = (F.col("l_orderkey") + F.col("l_partkey")) % 101 == 0
-    rows = base.select(
+    # The last join deals the lines by the text of their order, so what goes by invoice or by
+    # (invoice, product) after it finds its rows together.
+    base = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        invoices, F.col("l_orderkey").cast("string") == F.col("o_orderkey").cast("string")
+    )
+    copies = F.when(F.col("l_orderkey") % 50 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return base.select(
         F.col("l_orderkey").cast("string").alias("invoiceno"),
         F.concat(
             F.when(F.col("l_partkey") % 97 == 0, F.lit("P")).otherwise(F.lit("")),
             F.col("l_partkey").cast("string"),
         ).alias("stockcode"),
         F.when(F.col("l_partkey") % 89 == 0, F.lit(None)).otherwise(F.col("p_name")).alias("description"),
-        F.when(returned, -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast(QTY).alias("quantity"),
+        F.when(F.col("_returned"), -F.col("l_quantity")).otherwise(F.col("l_quantity")).cast(QTY).alias("quantity"),
         F.col("o_orderdate").cast("date").alias("invoicedate"),
         F.when(zero_price, F.lit(0).cast(PRICE_IN))
         .otherwise(cents_to_price(_unit_cents(), PRICE_IN))
         .alias("unitprice"),
         F.when(F.col("o_custkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_custkey")).cast(WIDE.customer).alias("customerid"),
         F.upper("n_name").alias("country"),
+        F.explode(copies).alias("_copy"),
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice",
-    )
-    first_copy = rows.withColumn("_copy", F.lit(0))
-    second_copy = rows.filter(F.col("l_orderkey") % 50 == 0).withColumn("_copy", F.lit(1))
-    both = first_copy.unionByName(second_copy)
-    return both.select(
+    ).select(
         "invoiceno", "stockcode", "description", "quantity", "invoicedate", "unitprice", "customerid", "country",
         F.struct(
             F.col("_copy").alias("copy"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
