@@ -2,13 +2,17 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from conftest import F, SF_SMALL, row
 from tillstar.operators import analytics as A
+from tillstar.operators import keyindex
+from tillstar.operators.clean import classify
 from tillstar.operators.dedupe import first_per_key
-from tillstar.operators.merge import load
+from tillstar.operators.merge import insert_if_absent, load
 from tillstar.plans import catalog
 from tillstar.plans.testdata import batch_a, dirty_export, star
+from tillstar.schema import WIDE
 from tillstar.session import scratch_path
+from tillstar.sources import warehouse
 from tillstar.sources.warehouse import Warehouse
 
 
@@ -51,3 +55,39 @@ def test_warehouse_reads_only_committed_batches(spark):
     load(wh, batch_a(dirty_export(spark, SF_SMALL)), "A")
     p = plan(wh.table("detailinvoice"))
     assert "PartitionFilters: [isnotnull(batch_id" in p
+
+
+def test_classify_deals_rows_once(spark, make_raw):
+    raw = make_raw([row(quantity=n % 3, stockcode=str(n % 5)) for n in range(40)])
+    p = plan(classify(raw.repartition(4, "invoiceno")))
+    assert p.count("Exchange") == 1 and "Join" not in p
+
+
+def test_dirty_rows_lie_by_invoice(spark):
+    dirty = dirty_export(spark, SF_SMALL)
+    assert plan(classify(dirty)).count("Exchange hashpartitioning") <= plan(dirty).count("Exchange hashpartitioning") + 1
+
+
+def test_equal_rows_at_one_place_are_one(spark, make_raw):
+    raw = make_raw([row(), row(customerid=None), row(customerid=None), row(stockcode=None), row(stockcode=None)])
+    twice = raw.unionByName(raw.filter(F.col("_order") < 2))
+    got = sorted((r["_order"], r["rejected_by"]) for r in classify(twice).collect())
+    assert got == [(0, None), (1, "duplicate_key"), (2, "duplicate_row"), (3, None), (4, "duplicate_row")]
+
+
+def test_first_load_joins_no_history(spark, make_raw):
+    wh = Warehouse(spark, scratch_path(spark, "wh"))
+    assert "Join" not in plan(insert_if_absent(wh.table("product"), make_raw([row()]), ["stockcode"]))
+
+
+def test_keys_found_everywhere_are_not_all_looked_up(spark, make_raw, monkeypatch):
+    monkeypatch.setattr(warehouse, "FIRST_KEYS", 60)
+    looked_up = []
+    probe = keyindex.probe
+    monkeypatch.setattr(keyindex, "probe", lambda index, batch, *a: looked_up.append(batch.count()) or probe(index, batch, *a))
+    wh = Warehouse(spark, scratch_path(spark, "wh"), WIDE, key_buckets=2)
+    rows = [row(invoiceno=str(1000 + i)) for i in range(100)]
+    load(wh, make_raw(rows), "A")
+    assert wh.may_hold("invoice", make_raw(rows), wh.state(), "1000", "1099").count() == 100 and looked_up == [60]
+    one = make_raw(rows[:1])
+    assert wh.may_hold("invoice", one, wh.state(), "1000", "1000").count() == 1 and looked_up == [60, 1, 1]
