@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from tests.conftest import row
 from tillstar.operators import analytics as A
-from tillstar.operators import keyindex
+from tillstar.operators import keyindex, merge
 from tillstar.operators.merge import load
 from tillstar.schema import WIDE, Limits
-from tillstar.session import scratch_path
+from tillstar.session import SHUFFLE_CLEANUP, scratch_path, tidy_shuffles
 from tillstar.sources.export import header_lines, new_files, read_landing
 from tillstar.sources.manifest import ConflictError, VersionExists
 from tillstar.sources.warehouse import Warehouse
@@ -64,6 +64,29 @@ def test_a_reset_in_between_is_seen(spark, make_raw):
     assert [f[0] for f in facts(wh)] == ["2", "536365"] and facts(wh)[1][2] == "7.00"
 
 
+def test_loads_drop_shuffle_files_and_restore_the_setting(spark, make_raw, monkeypatch):
+    was, seen = spark.conf.get(SHUFFLE_CLEANUP, None), []
+    plain = merge.add_rows
+    monkeypatch.setattr(merge, "add_rows", lambda *a: seen.append(spark.conf.get(SHUFFLE_CLEANUP)) or plain(*a))
+    with tidy_shuffles(spark):
+        load(Warehouse(spark, scratch_path(spark, "wh")), make_raw([row()]), "A")
+        assert spark.conf.get(SHUFFLE_CLEANUP) == "true"
+    assert seen == ["true"] and spark.conf.get(SHUFFLE_CLEANUP, None) == was
+
+
+@pytest.mark.parametrize("few", [0, 1, 100])
+def test_known_products_do_not_travel(spark, make_raw, monkeypatch, few):
+    monkeypatch.setattr(merge, "FEW_NEW", few)
+    wh, ranked = Warehouse(spark, scratch_path(spark, "wh")), []
+    load(wh, make_raw([row(invoiceno="1", stockcode=str(n), description="old") for n in range(5)]), "A")
+    plain = merge.insert_if_absent
+    monkeypatch.setattr(merge, "insert_if_absent", lambda t, b, keys, **kw: ranked.append((tuple(keys), b.count())) or plain(t, b, keys, **kw))
+    late = [row(invoiceno="2", stockcode=str(n % 6), description=f"new {n}") for n in range(4, 6)] + [row(invoiceno="3", stockcode="5", description="last")]
+    load(wh, make_raw(late), "B")
+    assert sorted((r.stockcode, r.description) for r in wh.table("product").collect()) == [*((str(n), "old") for n in range(5)), ("5", "new 5")]
+    assert dict(ranked)[("stockcode",)] == (2 if few else 3)
+
+
 def test_a_version_is_created_once(spark):
     wh = Warehouse(spark, scratch_path(spark, "wh"))
     seen = wh.state()
