@@ -7,11 +7,11 @@ from tillstar.operators import analytics as A
 from tillstar.operators import keyindex
 from tillstar.operators.clean import classify
 from tillstar.operators.dedupe import first_per_key
-from tillstar.operators.merge import insert_if_absent, load
+from tillstar.operators.merge import insert_if_absent, judged, load, with_firsts
 from tillstar.plans import catalog
 from tillstar.plans.testdata import batch_a, dirty_export, star
 from tillstar.schema import WIDE
-from tillstar.session import scratch_path
+from tillstar.session import JOIN_BY_PART, scratch_path, tidy_shuffles
 from tillstar.sources import warehouse
 from tillstar.sources.warehouse import Warehouse
 
@@ -91,3 +91,25 @@ def test_keys_found_everywhere_are_not_all_looked_up(spark, make_raw, monkeypatc
     assert wh.may_hold("invoice", make_raw(rows), wh.state(), "1000", "1099").count() == 100 and looked_up == [60]
     one = make_raw(rows[:1])
     assert wh.may_hold("invoice", one, wh.state(), "1000", "1000").count() == 1 and looked_up == [60, 1, 1]
+
+
+def test_staging_by_invoice_deals_rows_once(spark, make_raw):
+    raw = make_raw([row(invoiceno=str(n % 4), quantity=n % 3, stockcode=str(n % 5)) for n in range(40)])
+    p = plan(with_firsts(judged(classify(raw.repartition(3), by_invoice=True), "intended", WIDE)))
+    assert p.count("Exchange hashpartitioning(invoiceno") == p.count("Exchange hashpartitioning") == 1 and p.count("- Sort [") == 2
+
+
+def test_fact_rows_meet_history_by_invoice(spark):
+    old = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", "b"), (None, "c")], "invoiceno string, stockcode string")
+    new = spark.createDataFrame([("1", "a"), ("1", "b"), ("2", "b"), ("3", "a"), (None, "c")], "invoiceno string, stockcode string")
+    keys = ["invoiceno", "stockcode"]
+    with tidy_shuffles(spark, JOIN_BY_PART):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            got = insert_if_absent(old, new, keys, unique=True, by="invoiceno")
+            p = plan(got)
+            rows = sorted(got.collect(), key=str)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert p.count("Exchange hashpartitioning(invoiceno") == p.count("Exchange") == 2 and "stockcode" not in "".join(x for x in p.splitlines() if "Exchange" in x)
+    assert rows == sorted(insert_if_absent(old, new, keys, unique=True).collect(), key=str) and len(rows) == 3

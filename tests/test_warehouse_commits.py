@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import row
 from tillstar.operators import analytics as A
 from tillstar.operators import keyindex, merge
+from tillstar.operators.clean import classify
 from tillstar.operators.merge import load
 from tillstar.schema import WIDE, Limits
 from tillstar.session import SHUFFLE_CLEANUP, scratch_path, tidy_shuffles
@@ -87,6 +88,28 @@ def test_known_products_do_not_travel(spark, make_raw, monkeypatch, few):
     assert dict(ranked)[("stockcode",)] == (2 if few else 3)
 
 
+def test_the_first_loadable_row_brings_the_invoice(spark, make_raw):
+    rows = [
+        row(invoiceno="1", stockcode="9", quantity=-1, country="Spain"),  # refused: brings nothing
+        row(invoiceno="1", stockcode="8", country="France", invoicedate="2010-12-02"),
+        row(invoiceno="1", stockcode="2", country="Italy"),
+        row(invoiceno="2", stockcode="P5", country="Spain"),  # no row of invoice 2 is kept
+        row(invoiceno=None, country="Spain"),
+        row(invoiceno="3", stockcode="5", country="Malta"),
+        row(invoiceno="3", stockcode="5", country="Italy"),
+        row(invoiceno="3", stockcode="4", country="Malta"),
+    ]
+    raw = make_raw(rows)
+    raw = raw.unionByName(raw.filter("_order = 5").withColumn("country", F.lit("Spain")))  # two rows at one place
+    wh = Warehouse(spark, scratch_path(spark, "wh"))
+    assert load(wh, raw, "A")
+    got = sorted((r.invoiceno, r.country) for r in wh.table("invoice").collect())
+    assert got in ([("1", "France"), ("3", "Malta")], [("1", "France"), ("3", "Spain")])
+    assert sorted(c for c in wh.rejected().columns if c.startswith("_")) == ["_order"]
+    by_key, by_invoice = (classify(raw, by_invoice=b).select("_order", "country", "rejected_by") for b in (False, True))
+    assert sorted(by_key.collect(), key=str) == sorted(by_invoice.collect(), key=str)
+
+
 def test_a_version_is_created_once(spark):
     wh = Warehouse(spark, scratch_path(spark, "wh"))
     seen = wh.state()
