@@ -37,6 +37,18 @@ def test_title_case_keeps_null_and_digits(spark):
     assert got == [None, "A1B", "Élan Vital"]
 
 
+def test_title_case_of_plain_words_is_that_of_their_runs(spark):
+    texts = ["UNITED KINGDOM", " two  words", "NATION_7", "a1", "a1b", "o'neil", "x\ty", "a b-c", "-", "", "end\n", "two\nlines", "ab\u0085", "İstanbul"]
+    got = one(spark, title_case("c"), [(t,) for t in texts], "c string")
+    assert got == ["United Kingdom", " Two  Words", "Nation_7", "A1", "A1B", "O'Neil", "X\tY", "A B-C", "-", "", "End\n", "Two\nLines", "Ab\u0085", "İstanbul"]
+
+
+def test_title_case_splits_no_plain_words(spark):
+    """Runs are a second branch: a text that is plain words is not cut."""
+    shown = spark.range(1).select(title_case(F.col("id").cast("string")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.index("initcap") < shown.index("regexp_extract_all")
+
+
 def test_missing_markers(spark):
     got = one(spark, missing_as_null("c"), [("NaN",), ("n/a",), ("#N/A",), ("x",), ("",)], "c string")
     assert got == [None, None, None, "x", None]

@@ -42,9 +42,11 @@ def title_case(c) -> Column:
     ``channel-islands`` -> ``Channel-Islands``), unlike ``initcap`` which only
     restarts after whitespace.  The text is split into alternating letter and
     non-letter runs; ``initcap`` on each run then capitalises letter runs.
+    ASCII words with no letter after anything but a letter or a space need no splitting.
     """
+    plain = _col(c).rlike(r"\A[A-Za-z ]*[\x00-@\[-`{-\x7F]*\z")
     runs = F.regexp_extract_all(_col(c), F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.when(_col(c).isNull(), F.lit(None)).otherwise(
+    return F.when(_col(c).isNull(), F.lit(None)).when(plain, F.initcap(_col(c))).otherwise(
         F.array_join(F.transform(runs, lambda t: F.initcap(t)), "")
     )
 

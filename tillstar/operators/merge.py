@@ -161,6 +161,21 @@ def rows_of_few(wh: Warehouse, rows: DataFrame, known: DataFrame, keys: Sequence
     return rows if new.count() > FEW_NEW else rows.join(new, list(keys), "left_semi")
 
 
+def first_versions(wh: Warehouse, rows: DataFrame, keys: Sequence[str], folder: str) -> DataFrame:
+    """One row per key of ``rows``, the first in file order.
+
+    The versions of a key are counted without their places; rows of keys that have several are ranked by place.
+    """
+    step, cells = "_versions", [c for c in rows.columns if c != ORDER]
+    apart = rows.select(*cells).distinct()
+    others = [F.first(c).alias(c) for c in cells if c not in keys]
+    seen = wh.stage(apart.groupBy(*keys).agg(*others, F.count(F.lit(1)).alias("_n")), folder, step)
+    only, several = seen.filter("_n = 1").select(*cells), seen.filter("_n > 1").select(*keys)
+    if several.isEmpty():
+        return only
+    return only.unionByName(first_per_key(rows.join(several, list(keys), "left_semi"), keys, ORDER).select(*cells))
+
+
 def add_rows(wh: Warehouse, ok: DataFrame, seen: State, folder: str, zone_map: DataFrame | None) -> tuple[dict, dict]:
     """Write the rows of a batch that ``seen`` does not hold; returns the commit's (add, remove)."""
     firsts = sorted({keys[0] for _, keys in wh.tables.values()})
@@ -184,7 +199,7 @@ def add_rows(wh: Warehouse, ok: DataFrame, seen: State, folder: str, zone_map: D
             if name == "country" and zone_map is None:
                 rows = rows.groupBy(*keys).agg(F.first("zone").alias("zone"))  # all alike: no order to keep
             elif name == "product":
-                rows = rows_of_few(wh, rows, known, keys, folder)
+                rows = first_versions(wh, rows_of_few(wh, rows, known, keys, folder), keys, folder)
             new = insert_if_absent(known, rows, keys, unique=ORDER not in rows.columns)
         if name == "detailinvoice" and wh.surrogate:
             new = wh.numbered(new, sum(i["rows"] for i in seen.folders(name).values()))
@@ -236,7 +251,8 @@ def _load(wh: Warehouse, raw: DataFrame, batch_id: str, mode: str, files: Sequen
     for _ in range(ATTEMPTS):
         folder = wh.new_folder(batch_id)
         add, remove = add_rows(wh, ok, seen, folder, zone_map)
-        wh.clear_stage(folder, "_new_keys")
+        for step in ("_new_keys", "_versions"):
+            wh.clear_stage(folder, step)
         wh.write_rejected(staged.filter(F.col("rejected_by").isNotNull()).drop("_first"), folder)
         add["_rejected"] = {folder: {}}
         if wh.write_files(files, folder):

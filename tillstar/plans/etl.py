@@ -17,7 +17,7 @@ from tillstar.operators import constraints as K
 from tillstar.operators.merge import load
 from tillstar.operators.quality import quality_by_rule, quality_report
 from tillstar.operators import analytics as A
-from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, star, strained_export, table, text_export
+from tillstar.plans.testdata import ORDER, batch_a, batch_b, dirty_export, export_a, export_b, star, strained_export, table, text_export
 from tillstar.schema import LOAD_ORDER, MISSING_DESCRIPTION, RAW_COLUMNS, STAR, UNSPECIFIED_COUNTRY, WIDE
 from tillstar.session import scratch_path, tidy_shuffles
 from tillstar.sources.export import new_files, read_export, read_landing, write_export
@@ -36,9 +36,8 @@ def _dirty(spark: SparkSession, d: str) -> DataFrame:
 def _two_batch_warehouse(spark: SparkSession, d: str) -> Warehouse:
     """Batch A then batch B merged into a fresh warehouse."""
     wh = _warehouse(spark)
-    dirty = _dirty(spark, d)
-    load(wh, batch_a(dirty), "A")
-    load(wh, batch_b(dirty), "B")
+    load(wh, export_a(spark, d), "A")
+    load(wh, export_b(spark, d), "B")
     return wh
 
 
@@ -71,7 +70,7 @@ def warehouse_reset(spark: SparkSession, d: str) -> DataFrame:
     wh.reset(confirm=True)
     if wh.rejected() is not None or any(t.head(1) for t in wh.star().values()):
         raise RuntimeError("rows survived the reset")
-    load(wh, batch_b(_dirty(spark, d)), "A")
+    load(wh, export_b(spark, d), "A")
     return wh.table("detailinvoice")
 
 
@@ -144,21 +143,19 @@ def load_interleaved(spark: SparkSession, d: str) -> DataFrame:
 def load_zone_restamp(spark: SparkSession, d: str) -> DataFrame:
     """A zone map that comes with the second batch stamps the countries of the first one too."""
     wh = _warehouse(spark)
-    dirty = _dirty(spark, d)
-    load(wh, batch_a(dirty), "A")
+    load(wh, export_a(spark, d), "A")
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
     zones = nation.filter("n_nationkey % 4 <> 0").join(region, nation["n_regionkey"] == region["r_regionkey"])
-    load(wh, batch_b(dirty), "B", zone_map=zones.select(C.title_case("n_name").alias("country"), F.col("r_name").alias("zone")))
+    load(wh, export_b(spark, d), "B", zone_map=zones.select(C.title_case("n_name").alias("country"), F.col("r_name").alias("zone")))
     return wh.table("country")
 
 
 def load_surrogate(spark: SparkSession, d: str) -> DataFrame:
     """Dense ids of fact rows: those of the first batch come before those of the second."""
     wh = Warehouse(spark, scratch_path(spark, "warehouse"), WIDE, surrogate=True)
-    dirty = _dirty(spark, d)
-    load(wh, batch_a(dirty), "A")
+    load(wh, export_a(spark, d), "A")
     first = wh.table("detailinvoice").count()
-    load(wh, batch_b(dirty), "B")
+    load(wh, export_b(spark, d), "B")
     ids = F.col(SURROGATE)
     return wh.table("detailinvoice").agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -175,7 +172,7 @@ def load_compacted(spark: SparkSession, d: str) -> DataFrame:
     wh = _two_batch_warehouse(spark, d)
     if not wh.compact():
         raise RuntimeError("nothing was compacted")
-    load(wh, batch_a(_dirty(spark, d)), "A2")
+    load(wh, export_a(spark, d), "A2")
     return wh.table("detailinvoice")
 
 
