@@ -16,7 +16,7 @@ and loading the same rows under a new id inserts nothing.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,9 +45,11 @@ def insert_if_absent(
     unique: bool = False,
     bounds: tuple | None = None,
     by: str | None = None,
+    pick: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Rows of ``batch`` whose key is not yet in ``target`` (first per key in ``order``).
 
+    ``pick``, if given, selects the first row per key in another way.
     ``unique=True`` states that ``batch`` already holds one row per key (a
     cleaned batch is unique on the fact key), which skips the per-key selection.
 
@@ -62,7 +64,7 @@ def insert_if_absent(
     if bounds is not None:
         lo, hi = bounds
         target = target.filter(F.lit(False)) if lo is None else target.filter(F.col(keys[0]).between(F.lit(lo), F.lit(hi)))
-    firsts = batch if unique else first_per_key(batch, list(keys), order)
+    firsts = batch if unique else pick(batch) if pick else first_per_key(batch, list(keys), order)
     if by is None:
         return firsts.join(target.select(*keys), list(keys), "left_anti")
     known = target.select(*keys, F.lit(True).alias("_known")).repartition(by)
@@ -194,12 +196,13 @@ def add_rows(wh: Warehouse, ok: DataFrame, seen: State, folder: str, zone_map: D
             new = project(with_totalcost(rows), name, limits=wh.limits)
         elif name == "invoice":
             new = insert_if_absent(known, project(ok.filter("_first"), name, limits=wh.limits).drop(ORDER), keys, unique=True)
+        elif name == "product":
+            rows = rows_of_few(wh, project(ok, name), known, keys, folder)
+            new = insert_if_absent(known, rows, keys, pick=lambda some: first_versions(wh, some, STAR["product"][1], folder))
         else:
             rows = project(ok, name, zone_map, wh.limits)
             if name == "country" and zone_map is None:
                 rows = rows.groupBy(*keys).agg(F.first("zone").alias("zone"))  # all alike: no order to keep
-            elif name == "product":
-                rows = first_versions(wh, rows_of_few(wh, rows, known, keys, folder), keys, folder)
             new = insert_if_absent(known, rows, keys, unique=ORDER not in rows.columns)
         if name == "detailinvoice" and wh.surrogate:
             new = wh.numbered(new, sum(i["rows"] for i in seen.folders(name).values()))
