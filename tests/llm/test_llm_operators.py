@@ -9,13 +9,14 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillstar.llm import embedding_dedup, licenses, mixing, neighbours, ngram_join, packing, secrets, suffix_dedup, toxicity, url_filter
 from tillstar.llm import queries as registry
-from tillstar.llm.common import components, shingle_sets, word_hashes
+from tillstar.llm.common import components, packed, shingle_sets, unpacked, word_hashes
 
 SMALL = "/root/testdata/sf0.001"
 CLASHES = ["n", "sig", "token", "label", "key", "cell", "size", "h", "cls", "blob2", "a.b", "rank", "bucket", "u", "v", "row"]
@@ -104,6 +105,28 @@ def test_ngram_join_equals_brute_force(spark, chunk):
     assert sorted([tuple(r) for r in got], key=repr) == jaccard_truth(rows)
 
 
+def test_shingles_that_texts_share_by_chance_leave_the_index(spark):
+    """Classes 1 and 2 share 16 shingles, as their l wants; each shares one with 3 to 6, which have many of
+    their own. Kept, those would send the texts of nearly all long documents of a large corpus."""
+    base = ngram_join.LEVEL_BASE
+    meta = 1 + base * (16 + base * 200)  # l is 16, 200 shingles
+    rows = [(t, c, meta, 2) for t in range(100, 116) for c in (1, 2)]
+    rows += [(200 + c, c, meta, 2) for c in range(3, 7)] + [(200 + c, 1 + c % 2, meta, 2) for c in range(3, 7)]
+    rows += [(300 + 10 * c + k, c + 10 * (k % 2), meta, 2) for c in range(3, 7) for k in range(10)]
+    rows += [(900, c, meta, 40) for c in range(40)]
+    index = spark.createDataFrame(rows, "token long, sig long, meta long, times long")
+    got = {(r.token, r.sig) for r in ngram_join.without_chance(index, 75).collect()}
+    assert got == {(t, c) for t in range(100, 116) for c in (1, 2)} | {(900, c) for c in range(40)}
+
+
+def test_texts_that_a_join_would_drop_are_not_packed(spark):
+    rows = spark.range(5000).withColumn("text", F.col("id").cast("string")).repartition(3)
+    wanted = spark.range(0, 5000, 7).select(F.col("id").alias("rep"))
+    got = {r.id: unpacked(pa.scalar(bytes(r.body))) for r in packed(rows, ["id"], wanted=wanted).collect()}
+    assert set(range(0, 5000, 7)) <= set(got) and len(got) < 800 and all(v == str(k).encode() for k, v in got.items())
+    assert packed(rows, ["id"], wanted=wanted.filter("rep < 0")).count() == 0
+
+
 def test_ngram_join_of_groups_with_overlapping_passages(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "REPORTED", 1000)  # all shingles count as rare, as they do where a group is spread over many tasks
     rng = np.random.default_rng(13)
