@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from tillstar.llm import embedding_dedup, licenses, mixing, neighbours, ngram_join, packing, secrets, suffix_dedup, toxicity, url_filter
 from tillstar.llm import queries as registry
-from tillstar.llm.common import components, packed, shingle_sets, unpacked, word_hashes
+from tillstar.llm.common import components, packed, shingle_sets, stage, unpacked, word_hashes
+from tillstar.session import SHUFFLE_CLEANUP
 
 SMALL = "/root/testdata/sf0.001"
 CLASHES = ["n", "sig", "token", "label", "key", "cell", "size", "h", "cls", "blob2", "a.b", "rank", "bucket", "u", "v", "row"]
@@ -119,6 +120,46 @@ def test_shingles_that_texts_share_by_chance_leave_the_index(spark):
     assert got == {(t, c) for t in range(100, 116) for c in (1, 2)} | {(900, c) for c in range(40)}
 
 
+def test_suffix_arrays_are_of_what_several_documents_have(monkeypatch):
+    """Segments that share an anchor share few strings: the others' bytes need no place in a suffix array."""
+    rng = np.random.default_rng(5)
+    own = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    both, twice = own(90), own(70)
+    segments = [own(300) + both + own(200), own(100) + both + own(80) + both[:60], own(500), own(40) + twice + own(30) + twice, own(60), both[:49], b""]
+    docs = np.array([3, 8, 5, 6, 7, 9, 10])
+    whole = suffix_dedup.repeated_in(segments, docs, 50)
+    sizes, real = [], suffix_dedup.suffix_array
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda text, *a: sizes.append(len(text)) or real(text, *a))
+    assert suffix_dedup.repeated(segments, docs, 50) == whole == [(1, 100, 190), (1, 270, 330)]
+    assert sum(sizes) < 300
+    assert suffix_dedup.repeated([b"a" * 400, b"a" * 120, own(30)], np.array([2, 4, 1]), 50) == [(1, 0, 120)]
+    assert suffix_dedup.repeated([own(80)], np.array([1]), 50) == suffix_dedup.repeated([both, both], np.array([1, 1]), 50) == []
+
+
+def test_boxes_do_not_grow_with_the_square_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SLICE", 1 << 12)
+    monkeypatch.setattr(suffix_dedup, "BOX", 10)
+    counts, real = [], suffix_dedup.map_groups
+    monkeypatch.setattr(suffix_dedup, "map_groups", lambda df, keys, work, schema, tasks: counts.append((tasks, df.count())) or real(df, keys, work, schema, tasks))
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 500}x{k % 11}" for k in range(120))) for i in range(60)]
+    small = suffix_dedup.dedup(documents(spark, rows)).orderBy("doc_id").collect()
+    n_bytes = sum(len(r[1]) for r in rows)
+    (tasks, n_boxes), = counts
+    assert tasks == n_bytes >> 10 and n_boxes <= tasks * (n_bytes // (1 << 12) + 8)
+    monkeypatch.undo()
+    assert small == suffix_dedup.dedup(documents(spark, rows)).orderBy("doc_id").collect()
+
+
+def test_a_stage_leaves_no_shuffle_files(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    shuffles = lambda: sum(b.name().startswith("shuffle") for b in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    ))
+    held = shuffles()
+    assert stage(spark.range(1000).repartition(7, "id").groupBy(F.col("id") % 10).count(), "tidy").count() == 10
+    assert shuffles() <= held + 4 and spark.conf.get(SHUFFLE_CLEANUP, None) == before  # the count's own
+
+
 def test_texts_that_a_join_would_drop_are_not_packed(spark):
     rows = spark.range(5000).withColumn("text", F.col("id").cast("string")).repartition(3)
     wanted = spark.range(0, 5000, 7).select(F.col("id").alias("rep"))
